@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding, url_filter
+from . import byte_bpe, packing, quality_rules, sharding, token_files, url_filter
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op6_url_filters": url_filter.op6_url_filters,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_token_files": token_files.op10_token_files,
 }
 ORACLE = {
     "op2_sharding": sharding.ORACLE,
