@@ -89,7 +89,7 @@ class PieceTable:
 
     def table(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(piece codes of all texts, offsets of the texts in them, ids of the distinct pieces, their offsets)."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts = compact(texts)
         pieces = self._cut(texts)
         offsets = np.asarray(pieces.offsets, dtype=np.int64)
         words = pieces.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
@@ -123,6 +123,11 @@ def piece_table(path: str, kind: str) -> PieceTable:
     return PieceTable(path, kind)
 
 
+def compact(texts: pa.Array) -> pa.Array:
+    """large_string without nulls in buffers of its own: some kernels misread a slice of a larger array."""
+    return pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+
+
 def batches(source: Iterator[pa.RecordBatch], most: int = 48 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches of about `most` bytes at most; a longer single row is a batch of its own."""
     for b in source:
