@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, jaccard_join, packing, quality_rules, sharding, token_files, url_filter
+from . import byte_bpe, jaccard_join, packing, quality_model, quality_rules, sharding, token_files, url_filter
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op3_quality_model": quality_model.op3_quality_model,
     "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
     "op6_url_filters": url_filter.op6_url_filters,
     "op7_quality_rules": quality_rules.op7_quality_rules,
