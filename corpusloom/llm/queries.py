@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, jaccard_join, packing, quality_model, quality_rules, sharding, token_files, url_filter
+from . import byte_bpe, html_text, jaccard_join, packing, quality_model, quality_rules, sharding, token_files, url_filter
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_quality_model": quality_model.op3_quality_model,
     "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
+    "op5_html_text": html_text.op5_html_text,
     "op6_url_filters": url_filter.op6_url_filters,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
