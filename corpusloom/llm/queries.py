@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, jaccard_join, packing, quality_model, quality_rules, sharding, token_files, url_filter
+from . import byte_bpe, html_text, jaccard_join, packing, quality_model, quality_rules, sharding, token_files, url_filter, vector_search
 
 QUERIES = {
+    "op1_vector_search": vector_search.op1_vector_search,
     "op2_sharding": sharding.op2_sharding,
     "op3_quality_model": quality_model.op3_quality_model,
     "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
