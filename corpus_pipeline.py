@@ -1,13 +1,59 @@
-"""Corpus cleaning pipeline; stages are added as their operators land."""
+"""Corpus cleaning pipeline: quality classifier, quality rules, near copies, packing.
 
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of `documents`. The
+driver of the stages writes each result as Parquet and reads it again as the next one's docs; run() does the same in
+the folder that the cluster shares. An empty documents table goes through as no rows; documents with null texts go at
+the quality rules; further columns of documents are carried on.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import jaccard_join, packing, quality_model, quality_rules
+from corpusloom.llm.common import materialise, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under the model of trusted text is within their language's limit."""
+    judged = quality_model.classify(docs, table(spark, sf_dir, "labels"))
+    return judged.where("kept").select(*docs.columns)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies: the one of the smallest doc_id. Rows without an id stay."""
+    groups = jaccard_join.near_copies(docs)
+    keep = groups.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id")
+    # a kept id may stand on several rows of one text: the first of them stays
+    kept = docs.join(keep.distinct(), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return named.unionByName(kept.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, with their places in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", rules),
+    ("n-gram Jaccard join", near_copies),
+    ("best-fit packing", best_fit_packing),
+]
+#: SQL can't express the model, the near copies or the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
