@@ -11,7 +11,10 @@ DivideSkip leaves out of the merge as many long lists as T allows (T - 1 of them
 3. Merge: the nodes of a list are sorted by size, and neighbours whose sizes allow a link become candidates. Candidates
    are checked with binary probes of one node's shingles, long lists last, in the other's sorted set, and given up when
    what is left can't reach T. Linked nodes form components.
-4. Lists whose nodes are in one component have nothing more to say. In the others, every pair of nodes of different
+4. Lists whose nodes are in one component have nothing more to say. In the others every node is checked against the
+   list's first, second, ... TURNS-th hub, the nodes with the most lists: of a group of near copies those are the least
+   changed, so that most of what is left over joins its group here, again with no more candidates than rows of lists.
+5. In lists that are still open, every pair of nodes of different
    components that meets the size and position bounds is a candidate, and is checked the same way. So no link between
    components is lost and a group of near copies is never expanded into its pairs.
 
@@ -37,7 +40,7 @@ from .common import checkpointed, materialise, table
 from .tokens import batches, compact
 
 WORDS, SHARE = 5, Fraction(3, 4)
-RANGES, MOST_BINS, LIST_PART, BROADCAST_IDS = 64, 1 << 27, 50_000, 1_000_000
+RANGES, MOST_BINS, LIST_PART, BROADCAST_IDS, TURNS = 64, 1 << 27, 50_000, 1_000_000, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -229,7 +232,8 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", share: F
 
     lists = materialise(postings(df, "_t", classes, bins, share, words).distinct(), "postings")
     sizes = lists.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    lists = materialise(lists.join(sizes, "h").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / LIST_PART))), "lists")
+    posts = lists.groupBy("node").agg(F.count("*").alias("posts"))
+    lists = materialise(lists.join(sizes, "h").join(posts, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / LIST_PART))), "lists")
 
     near = F.col("n") >= F.ceil(F.lit(share.numerator) * F.col("m") / share.denominator)
     by = Window.partitionBy("h", "part").orderBy("n", "node")
@@ -237,7 +241,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", share: F
     heads = lists.where("c > %d" % LIST_PART).groupBy("h", "part").agg(F.min(F.struct("n", "node")).alias("x"))
     top = Window.partitionBy("h").orderBy("x")
     heads = heads.select(F.col("x.node").alias("b"), F.col("x.n").alias("m"), F.lag("x.node").over(top).alias("a"), F.lag("x.n").over(top).alias("n"))
-    first = materialise(chain.union(heads).where(F.col("a").isNotNull() & near).select("a", "b").distinct(), "pairs")
+    first = materialise(chain.union(heads).where(F.col("a").isNotNull() & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
     nodes = lists.select("node").distinct()
     reps = docs.join(nodes, "node").groupBy("node").agg(F.min("_k").alias("_k")).select("_k")
@@ -254,18 +258,38 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", share: F
     links = materialise(verified(first, sets, share), "links")
     comp = checkpointed(components(links))
 
-    placed = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    open_lists = materialise(placed.join(mixed, "h", "left_semi").select("h", "node", "n", "at", "comp"), "open")
-    left = open_lists.select("h", F.col("node").alias("a"), F.col("n"), F.col("at").alias("i"), F.col("comp").alias("ca"))
-    right = open_lists.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("comp").alias("cb"))
-    ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
     need = F.ceil(F.lit(share.numerator) * (F.col("n") + F.col("m")) / (share.numerator + share.denominator))
     reach = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= need
-    rest = left.join(right, "h").where(ordered & (F.col("ca") != F.col("cb")) & near & reach)
-    rest = materialise(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "rest")
+    size = F.least("n", "m") * share.denominator >= F.greatest("n", "m") * share.numerator
+    apart = (F.col("ca") != F.col("cb")) & size & reach
+
+    def still_open(comp: DataFrame) -> DataFrame:
+        """Rows of the lists whose nodes are not all in one component."""
+        placed = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
+        return materialise(placed.join(mixed, "h", "left_semi").select("h", "part", "node", "n", "at", "comp", "posts"), "open")
+
+    tried, open_lists = first, still_open(comp)
+    for turn in range(TURNS):
+        by = Window.partitionBy("h", "part").orderBy(F.desc("posts"), F.xxhash64("node", F.lit(turn)))
+        hub = F.nth_value(F.struct("node", "n", "at", "comp"), turn + 1).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        ways = open_lists.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("comp").alias("cb"), hub.alias("x"))
+        ways = ways.select("*", F.col("x.node").alias("a"), F.col("x.n").alias("n"), F.col("x.at").alias("i"), F.col("x.comp").alias("ca"))
+        ways = ways.where(F.col("a").isNotNull() & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        ways = materialise(ways.join(tried, ["a", "b"], "left_anti"), "ways")
+        found = materialise(verified(ways, sets, share), "found")
+        links, tried = links.union(found), tried.union(ways)
+        if found.count():
+            comp = checkpointed(components(links))
+            open_lists = still_open(comp)
+
+    left = open_lists.select("h", F.col("node").alias("a"), F.col("n"), F.col("at").alias("i"), F.col("comp").alias("ca"))
+    right = open_lists.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("comp").alias("cb"))
+    rest = left.join(right, "h").where((F.col("a") < F.col("b")) & apart)
+    rest = materialise(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     more = materialise(verified(rest, sets, share), "more")
-    comp = checkpointed(components(links.union(more)))
+    if more.count():
+        comp = checkpointed(components(links.union(more)))
 
     whole = docs.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = whole.where("comp IS NOT NULL").groupBy("comp").agg(F.min("_k").alias("component_id"))
