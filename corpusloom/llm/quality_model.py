@@ -8,9 +8,9 @@ table of n-grams; it is cut into shards of at most SHARD_ROWS by the context's l
 of all documents with the counts it holds: broadcast, as its size is bounded, so texts aren't shuffled. The shards'
 sums add up to a document's log-probability.
 
-A document is rejected when its perplexity is above MARGIN times the QUANTILE of its language's trusted documents;
-languages with fewer than LEAST of them take the quantile over all trusted documents. Without trusted text nothing is
-rejected. Quantiles are exact over bins of 0.001 in log-perplexity.
+One in HELD_OUT trusted documents, by the hash of its key, is kept out of the counts and sets the limits: a document is
+rejected when its perplexity is above MARGIN times the QUANTILE of its language's held-out documents; languages with
+fewer than LEAST of them take the quantile over all held-out documents. Without those nothing is rejected. Quantiles are exact over bins of 0.001 in log-perplexity.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .common import materialise, table
 from .tokens import batches
 
 ORDER, BITS, SHARD_ROWS, BROADCAST_IDS = 5, 12, 3_000_000, 1_000_000
-QUANTILE, MARGIN, LEAST, PRIOR = 0.99, 1.3, 20, 200
+QUANTILE, MARGIN, LEAST, PRIOR, HELD_OUT = 0.99, 1.5, 50, 200, 5
 START, SYMBOLS = 1, 1 << BITS
 
 
@@ -126,8 +126,10 @@ class Table:
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, value or 0) by key."""
         slot = self._slot(keys)
-        hit, out = self.keys[slot] == keys, self.values[slot]
+        hit = self.keys[slot] == keys
+        out = np.where(hit, self.values[slot], np.float32(0))
         at = np.flatnonzero(~hit)
         if len(at):
             i = np.searchsorted(self.more, keys[at])
@@ -241,8 +243,9 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     docs = docs.drop("perplexity", "threshold", "kept")
     trusted = trusted_of(reference if reference is not None else docs, labels, key).select(key, text, lang)
-    shards = shards_of(*fit(trusted, text, order), order)
-    scored = perplexities(trusted, shards, text, order).select(lang, score_of().alias("score")).where("score > 0")
+    held = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(HELD_OUT)) == 0
+    shards = shards_of(*fit(trusted.where(~held), text, order), order)
+    scored = perplexities(trusted.where(held), shards, text, order).select(lang, score_of().alias("score")).where("score > 0")
     own, whole = thresholds(scored, lang)
     mine = F.coalesce(lang, F.lit(""))
     limit = F.lit(whole).cast("double")
