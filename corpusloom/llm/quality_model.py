@@ -62,7 +62,7 @@ def count_grams(df: DataFrame, text: str = "text", order: int = ORDER) -> DataFr
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches(source, 8 << 20):
+        for b in batches(source, 2 << 20):
             new, n = np.unique(grams([t.as_py() or "" for t in b.column(0)], order)[0], return_counts=True)
             codes, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
             counts = np.bincount(back, np.concatenate([counts, n]), len(codes)).astype(np.int64)
@@ -187,7 +187,7 @@ def perplexities(df: DataFrame, shards: list, text: str = "text", order: int = O
         place = part.columns.index(text)
 
         def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches(source, 8 << 20):
+            for b in batches(source, 1 << 20):  # some ten arrays of eight bytes a symbol are alive at once
                 codes, sizes = grams([t.as_py() or "" for t in b.column(place)], order)
                 at, logp = model.value.score(codes)
                 whole = np.zeros(len(codes) + 1)
