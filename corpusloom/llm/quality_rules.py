@@ -9,6 +9,7 @@ all rules. DataFrame functions only, no shuffle; work per row depends on that ro
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, let, table, words_of
 
-#: The class [#*$%&|<>] of symbol characters.
-SYMBOLS = "#*$%&|<>"
+#: The class of symbol characters.
+SYMBOLS = "[#*$%&|<>]"
 SAMPLE_SHARE, SAMPLE_ROWS = 0.05, 400
 
 
@@ -31,16 +32,9 @@ def _text(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def n_words(text: str) -> Column:
-    return F.size(words_of(F.col(text))).cast("long")
-
-
-def word_chars(text: str) -> Column:
-    return F.length(F.translate(_text(text), " \t\n\x0b\x0c\r", "")).cast("long")
-
-
-def n_symbols(text: str) -> Column:
-    return (F.length(_text(text)) - F.length(F.translate(_text(text), SYMBOLS, ""))).cast("long")
+def _without(text: Column, pattern: str) -> Column:
+    """Code points of text that are not in the character class."""
+    return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
 def _lines(text: str) -> Column:
@@ -55,10 +49,11 @@ def n_lines(text: str) -> Column:
     return F.size(_lines(text)).cast("long")
 
 
-def n_repeat_words(text: str) -> Column:
+def n_repeat_words(words: Column) -> Column:
     """Words covered by a 3-word window that the text holds twice or more, the first included.
 
-    The windows are sorted with their places; equal neighbours mark repeats, and their places are joined.
+    Windows stand as 64-bit hashes. Where all differ there is nothing to cover; else they are sorted with their
+    places, equal neighbours mark repeats, and their places are joined.
     """
 
     def covered(s: Column) -> Column:
@@ -71,42 +66,60 @@ def n_repeat_words(text: str) -> Column:
         places = F.transform(again, lambda j: F.sequence(s[j]["i"], s[j]["i"] + 2))
         return F.size(F.array_distinct(F.flatten(places))).cast("long")
 
+    def counted(h: Column) -> Column:
+        placed = F.transform(h, lambda x, i: F.struct(x.alias("g"), i.alias("i")))
+        differ = F.size(F.array_distinct(h)) == F.size(h)
+        return F.when(differ, F.lit(0).cast("long")).otherwise(let(F.sort_array(placed), covered))
+
     def windows(w: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(w) - 3)
-        made = F.transform(at, lambda i: F.struct(F.concat_ws(" ", w[i], w[i + 1], w[i + 2]).alias("g"), i.alias("i")))
-        return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(let(F.sort_array(made), covered))
+        hashes = F.transform(at, lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+        return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(let(hashes, counted))
 
-    return let(words_of(F.col(text)), windows)
+    return let(words, windows)
 
 
-def base_rules(text: str = "text") -> list[Rule]:
-    return [
-        Rule("few_words", n_words(text) < 50),
-        Rule("repeats", 100 * n_repeat_words(text) > 50 * n_words(text)),
-    ]
+def measures(text: str = "text", words: Column | None = None) -> dict[str, Column]:
+    """The base measures by name; `words` is the text's array of words where a column holds it already."""
+    w, t = words_of(F.col(text)) if words is None else words, _text(text)
+    return {
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_symbols": F.length(t) - _without(t, SYMBOLS),
+        "n_dup_lines": n_dup_lines(text),
+        "n_repeat_words": n_repeat_words(w),
+    }
+
+
+def base_rules(text: str = "text", known: dict[str, Column] | None = None) -> list[Rule]:
+    m = known or measures(text)
+    return [Rule("few_words", m["n_words"] < 50), Rule("repeats", 100 * m["n_repeat_words"] > 50 * m["n_words"])]
 
 
-def further_rules(text: str = "text") -> list[Rule]:
-    """The method's own rules; none of them rejects an empty text."""
-    t, n = _text(text), n_words(text)
-    lettered = F.size(F.filter(words_of(F.col(text)), lambda w: w.rlike("\\p{L}")))
-    capitals = F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+def further_rules(text: str = "text", known: dict[str, Column] | None = None) -> list[Rule]:
+    """The method's own rules; none of them rejects an empty text. `known`: measures, or the columns that hold them."""
+    m, t = known or measures(text), _text(text)
+    n = m["n_words"]
+    lettered = F.regexp_count(t, F.lit("\\p{L}[^\\x20\\x09-\\x0D]*"))  # from a word's first letter to its end
+    capitals = F.length(t) - _without(t, "[A-Z]+")
     return [
-        Rule("symbols", 10 * n_symbols(text) > n),
-        Rule("word_length", (word_chars(text) > 15 * n) | (word_chars(text) < 2 * n)),
-        Rule("capitals", 2 * capitals > word_chars(text)),
+        Rule("symbols", 10 * m["n_symbols"] > n),
+        Rule("word_length", (m["word_chars"] > 15 * n) | (m["word_chars"] < 2 * n)),
+        Rule("capitals", 2 * capitals > m["word_chars"]),
         Rule("letters", 10 * lettered < 7 * n),
-        Rule("dup_lines", 10 * n_dup_lines(text) > 5 * n_lines(text)),
+        Rule("dup_lines", 10 * m["n_dup_lines"] > 5 * n_lines(text)),
         Rule("cut_lines", 10 * F.regexp_count(t, F.lit("(\\.\\.\\.|…)[ \\t\\r]*(\\n|$)")) > 5 * F.greatest(n_lines(text), F.lit(1))),
     ]
 
 
-def plan(df: DataFrame, rules: list[Rule], share: float = SAMPLE_SHARE, rows: int = SAMPLE_ROWS) -> list[dict]:
+def plan(df: DataFrame, rules: list[Rule], share: float = SAMPLE_SHARE, rows: int = SAMPLE_ROWS, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> list[dict]:
     """Rules with cost (seconds on the sample) and selectivity, best rejection per cost first; ties by name.
 
-    The sample only sets the order. An empty sample leaves selectivity 0 everywhere and orders by name.
+    The sample only sets the order. `prepare` adds to it the columns that rules read besides the text. An empty sample
+    leaves selectivity 0 everywhere and orders by name.
     """
-    sample = df.sample(share, 7).limit(rows).cache()
+    drawn = df.sample(share, 7).limit(rows).cache()
+    sample = prepare(drawn).cache()
     try:
         found = sample.count()
         out = []
@@ -117,6 +130,7 @@ def plan(df: DataFrame, rules: list[Rule], share: float = SAMPLE_SHARE, rows: in
             out.append({"rule": r, "cost": cost, "selectivity": hit or 0.0})
     finally:
         sample.unpersist()
+        drawn.unpersist()
     return sorted(out, key=lambda x: (-x["selectivity"] / x["cost"], x["rule"].name))
 
 
@@ -135,22 +149,28 @@ def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) ->
     """df plus kept boolean by the ordered cascade (all rules, base rules among them).
 
     Null and empty texts have no words and fail few_words. One output row per input row; a column named kept is
-    replaced.
+    replaced. The text is split into words once a row, in a column of a name of its own.
     """
-    rules = rules or base_rules(text) + further_rules(text)
-    return df.withColumn("kept", cascade([x["rule"] for x in plan(df.select(text), rules)]))
+    own = "_words_" + text
+    add = lambda d: d.withColumn(own, words_of(F.col(text)))
+    known = measures(text, F.col(own))
+    rules = rules or base_rules(text, known) + further_rules(text, known)
+    ordered = [x["rule"] for x in plan(df.select(text), rules, prepare=add)]
+    return add(df).withColumn("kept", cascade(ordered)).drop(own)
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """df plus n_words, the four base measures, base_failed and kept. Null text counts as empty.
 
-    Columns of these names are replaced; one output row per input row.
+    Columns of these names are replaced; one output row per input row. The further rules read the measures from their
+    columns.
     """
-    ordered = [x["rule"] for x in plan(df.select(text), further_rules(text))]
-    own = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
-    out = df.withColumns({k: f(text) for k, f in own.items()})
+    own = "_words_" + text
+    known = measures(text, F.col(own))
+    add = lambda d: d.withColumn(own, words_of(F.col(text))).withColumns(known).drop(own)
+    ordered = [x["rule"] for x in plan(df.select(text), further_rules(text, {k: F.col(k) for k in known}), prepare=add)]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = out.withColumn("base_failed", failed)
+    out = add(df).withColumn("base_failed", failed)
     return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(ordered)))
 
 
