@@ -145,13 +145,18 @@ def cascade(ordered: list[Rule]) -> Column:
     return case.otherwise(True)
 
 
+def _free_name(df: DataFrame) -> str:
+    """A column name longer than any of df's, for the array of words."""
+    return "_words".ljust(max([6, *(len(c) + 1 for c in df.columns)]), "_")
+
+
 def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """df plus kept boolean by the ordered cascade (all rules, base rules among them).
 
     Null and empty texts have no words and fail few_words. One output row per input row; a column named kept is
     replaced. The text is split into words once a row, in a column of a name of its own.
     """
-    own = "_words_" + text
+    own = _free_name(df)
     add = lambda d: d.withColumn(own, words_of(F.col(text)))
     known = measures(text, F.col(own))
     rules = rules or base_rules(text, known) + further_rules(text, known)
@@ -165,7 +170,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     Columns of these names are replaced; one output row per input row. The further rules read the measures from their
     columns.
     """
-    own = "_words_" + text
+    own = _free_name(df)
     known = measures(text, F.col(own))
     add = lambda d: d.withColumn(own, words_of(F.col(text))).withColumns(known).drop(own)
     ordered = [x["rule"] for x in plan(df.select(text), further_rules(text, {k: F.col(k) for k in known}), prepare=add)]

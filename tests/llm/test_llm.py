@@ -264,6 +264,9 @@ def test_rules_on_odd_rows(spark):
     got = quality_rules.measure(odd_docs(spark)).collect()
     assert len(got) == len(ODD) + 2 and not any(r.kept for r in got)
     assert quality_rules.judge(odd_docs(spark).limit(0)).count() == 0
+    clash = odd_docs(spark).selectExpr("*", "1 AS _words", "2 AS _words_text", "3 AS kept")
+    for r in quality_rules.judge(clash).collect():
+        assert (r["_words"], r["_words_text"]) == (1, 2) and isinstance(r.kept, bool)
 
 
 def test_url_rules(spark):
