@@ -65,7 +65,8 @@ def shingles(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         gram = np.zeros(len(word), np.uint64)
         for j in range(words):
-            gram[: len(word) - j] = (gram[: len(word) - j] ^ word[j:]) * MIX
+            whole = max(0, len(word) - j)
+            gram[:whole] = (gram[:whole] ^ word[j:]) * MIX
             gram ^= gram >> np.uint64(29)
     out = []
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):

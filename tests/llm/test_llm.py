@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,22 @@ def test_jaccard_join_empty_and_null_keys(spark):
     assert len(rows) == len(ODD) + 2 and any(r.doc_id is None and r.component_id is None for r in rows)
 
 
+def test_jaccard_join_few_words_a_batch(spark):
+    for words in range(8):
+        rows = [(1, " ".join(f"w{i}" for i in range(words)))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert [len(x) for x in jaccard_join.shingles(pa.array([rows[0][1]]))] == [brute_groups(rows)[1][0]]
+        if words in (2, 3):
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_copies(df).collect()} == brute_groups(rows)
+    rows = [(1, "a b"), (2, "A  b"), (3, "a b c"), (4, "c"), (5, "a b c d e f")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = jaccard_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows)
+
+
 def test_packing_search():
     rng = random.Random(5)
     for n in (0, 1, 9, 300):
