@@ -3,10 +3,9 @@
 Symbols are characters (digits as one, white space as one), n-grams are ORDER of them. Trusted text is every document
 with label quality 1 that isn't labelled toxic; its n-grams are counted in the tasks and summed by Spark. Lower orders
 count distinct left neighbours. Discounts come from the counts of counts; probabilities and back-off weights are joins
-of each order's counts with those of its contexts and with the order below, dealt out by context. The model then is a
-table of n-grams; it is cut into shards of at most SHARD_ROWS by the context's last symbol, and each shard is one join
-of all documents with the counts it holds: broadcast, as its size is bounded, so texts aren't shuffled. The shards'
-sums add up to a document's log-probability.
+of each order's counts with those of its contexts and with the order below, dealt out by context. The model stays a
+table of n-grams: nothing of it is collected or broadcast. Documents lie in chunks of about CHUNK bytes; the
+distinct n-grams of a chunk are joined with the model, and a chunk's texts meet their values in one task.
 
 One in HELD_OUT trusted documents, by the hash of its key, is kept out of the counts and sets the limits: a document is
 rejected when its perplexity is above MARGIN times the QUANTILE of its language's held-out documents; languages with
@@ -21,13 +20,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .tokens import batches
 
-ORDER, BITS, SHARD_ROWS, BROADCAST_IDS = 5, 12, 3_000_000, 1_000_000
+ORDER, BITS, SHARD_ROWS, BROADCAST_IDS, CHUNK, TASKS = 5, 12, 3_000_000, 1_000_000, 64 << 20, 4
 QUANTILE, MARGIN, LEAST, PRIOR, HELD_OUT = 0.99, 1.5, 50, 200, 5
 START, SYMBOLS = 1, 1 << BITS
 
@@ -107,105 +107,118 @@ def fit(trusted: DataFrame, text: str = "text", order: int = ORDER) -> tuple[Dat
     return reduce(DataFrame.union, all_grams), reduce(DataFrame.union, all_contexts)
 
 
-class Table:
-    """Numpy lookup int64 -> float32: a hashed slot for most keys, a sorted rest for those whose slot is taken."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, math.ceil(math.log2(2 * len(keys) + 2))))
-        slot = self._slot(keys)
-        taken, first = np.unique(slot, return_index=True)
-        self.keys = np.full(1 << (64 - int(self.shift)), -1, np.int64)
-        self.values = np.zeros(len(self.keys), np.float32)
-        self.keys[taken], self.values[taken] = keys[first], values[first]
-        rest = np.ones(len(keys), bool)
-        rest[first] = False
-        by = np.argsort(keys[rest])
-        self.more, self.more_values = np.append(keys[rest][by], np.int64(1 << 62)), np.append(values[rest][by], np.float32(0))
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, value or 0) by key."""
-        slot = self._slot(keys)
-        hit = self.keys[slot] == keys
-        out = np.where(hit, self.values[slot], np.float32(0))
-        at = np.flatnonzero(~hit)
-        if len(at):
-            i = np.searchsorted(self.more, keys[at])
-            ok = self.more[i] == keys[at]
-            hit[at[ok]], out[at[ok]] = True, self.more_values[i[ok]]
-        return hit, out
-
-
-class Shard:
-    """The n-grams and contexts whose context ends in certain symbols, of all orders."""
-
-    def __init__(self, grams_: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]], of: int, shards: int):
-        self.grams, self.contexts = [Table(*g) for g in grams_], [Table(*c) for c in contexts]
-        self.of, self.shards = of, shards
-
-    def score(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the codes that this shard answers for, their log-probabilities)."""
-        at = np.arange(len(codes)) if self.shards == 1 else np.flatnonzero((codes >> BITS & (SYMBOLS - 1)) % self.shards == self.of)
-        left, out = np.arange(len(at)), np.zeros(len(at))
-        for k in range(len(self.grams), 0, -1):
-            own = codes[at[left]] & ((1 << (BITS * k)) - 1)
-            hit, logp = self.grams[k - 1].get(own)
-            out[left[hit]] += logp[hit]
-            left, own = left[~hit], own[~hit]
-            if not len(left):
-                break
-            out[left] += self.contexts[k - 1].get(own >> BITS)[1]
-        out[left] -= math.log(SYMBOLS)
-        return at, out
-
-
-def shards_of(grams_: DataFrame, contexts: DataFrame, order: int = ORDER, rows: int = SHARD_ROWS) -> list:
-    """The model as broadcast shards of about `rows` n-grams each at most; order 1 stands in all of them."""
-    spark = grams_.sparkSession
-    n = max(1, -(-grams_.count() // rows))
-
-    def arrays(df: DataFrame, k: int, value: str, of: int, down: int) -> tuple[np.ndarray, np.ndarray]:
-        own = df.where(F.col("k") == k)
-        if k > 1 and n > 1:
-            own = own.where(F.shiftright("code", down).bitwiseAND(SYMBOLS - 1) % n == of)
-        t = own.select("code", value).toArrow()
-        return t.column("code").to_numpy().astype(np.int64), t.column(value).to_numpy().astype(np.float32)
-
-    return [
-        spark.sparkContext.broadcast(Shard([arrays(grams_, k, "logp", i, BITS) for k in range(1, order + 1)], [arrays(contexts, k, "back", i, 0) for k in range(1, order + 1)], i, n))
-        for i in range(n)
-    ]
-
-
-def perplexities(df: DataFrame, shards: list, text: str = "text", order: int = ORDER) -> DataFrame:
-    """df plus logp double and n_symbols long; null and empty texts have 0 of both. Columns of these names are replaced."""
-    df = df.drop("logp", "n_symbols")
+class Model:
+    """The fitted tables, which stay tables of Spark. len() is the least number of partitions that their joins need."""
+
+    def __init__(self, grams_: DataFrame, contexts: DataFrame, order: int, parts: int):
+        self.grams, self.contexts, self.order, self.parts = grams_, contexts, order, parts
+
+    def __len__(self) -> int:
+        return self.parts
+
+    def logp(self, codes: DataFrame) -> DataFrame:
+        """(code, logp) of distinct codes of `order` symbols: an n-gram's own value, or back-off weight and that of its suffix.
+
+        Works upwards over the distinct suffixes that were not found, so that no join key of either side has more than
+        SYMBOLS rows (a code is its context and one symbol, and its suffix and one symbol) and no context is hot.
+        """
+        spark = codes.sparkSession
+        parts = max(self.parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        ctx, none = F.shiftright("code", BITS).alias("ctx"), F.lit(None).cast("float")
+        need, found = codes.select("code"), {}
+        for k in range(self.order, 0, -1):  # one exchange an order: what is asked, n-grams and contexts meet by context
+            rows = need.select(ctx, "code", F.lit(True).alias("need"), none.alias("logp"), none.alias("back"))
+            rows = rows.union(self.grams.where(F.col("k") == k).select(ctx, "code", F.lit(None).cast("boolean"), "logp", none))
+            rows = rows.union(self.contexts.where(F.col("k") == k).select(F.col("code"), F.lit(None).cast("long"), F.lit(None).cast("boolean"), none, "back"))
+            rows = rows.repartition(parts, "ctx") if parts == self.parts > 1 else rows.repartition("ctx")
+            rows = rows.groupBy("ctx", "code").agg(*[F.max(c).alias(c) for c in ("need", "logp", "back")])
+            rows = rows.withColumn("back", F.max("back").over(Window.partitionBy("ctx"))).where("need").select("code", "logp", "back")
+            found[k] = materialise(rows, "found")
+            need = found[k].where("logp IS NULL").select(F.col("code").bitwiseAND((1 << (BITS * (k - 1))) - 1).alias("code")).distinct()
+        below = None
+        for k in range(1, self.order + 1):
+            out = found[k].where("logp IS NOT NULL").select("code", "logp")
+            missed = found[k].where("logp IS NULL").select("code", F.coalesce("back", F.lit(0.0)).cast("float").alias("back"), F.col("code").bitwiseAND((1 << (BITS * (k - 1))) - 1).alias("suffix"))
+            missed = missed.withColumn("low", F.lit(-math.log(SYMBOLS))) if below is None else missed.join(below, "suffix")
+            out = out.union(missed.select("code", (F.col("back") + F.col("low")).cast("float").alias("logp")))
+            below = out.select(F.col("code").alias("suffix"), F.col("logp").alias("low"))
+        return out
+
+
+def shards_of(grams_: DataFrame, contexts: DataFrame, order: int = ORDER, rows: int = SHARD_ROWS) -> Model:
+    """The model, dealt out in its joins by the whole code so that a partition holds about `rows` n-grams at most."""
+    return Model(grams_, contexts, order, max(1, -(-grams_.count() // rows)))
+
+
+def in_chunks(df: DataFrame, most: int = CHUNK, tasks: int = TASKS) -> DataFrame:
+    """df with _chunk long, about `most` bytes of rows together, from `tasks` tasks; written, so that it stands."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, at, held = TaskContext.get().partitionId() // tasks << 32, 0, 0
+        for b in batches(source, min(most // tasks, 1 << 20)):
+            if held and held + b.nbytes > most // tasks:
+                at, held = at + 1, 0
+            held += b.nbytes
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, task + at))], names=[*b.schema.names, "_chunk"])
 
-    def one(model, part: DataFrame) -> DataFrame:
-        place = part.columns.index(text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return materialise(df.mapInArrow(run, f"{schema}, _chunk long"), "chunks")
 
-        def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches(source, 1 << 20):  # some ten arrays of eight bytes a symbol are alive at once
-                codes, sizes = grams([t.as_py() or "" for t in b.column(place)], order)
-                at, logp = model.value.score(codes)
-                whole = np.zeros(len(codes) + 1)
-                whole[at + 1] = logp
-                ends = np.append(0, np.cumsum(sizes))
-                sums = np.cumsum(whole)
-                out = [pa.array(sums[ends[1:]] - sums[ends[:-1]]), pa.array(sizes)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[*b.schema.names, "logp", "n_symbols"])
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema)
-        return part.mapInArrow(run, f"{schema}, logp double, n_symbols long")
+def chunk_codes(chunked: DataFrame, text: str, order: int) -> DataFrame:
+    """(_chunk, code): the distinct n-grams of each chunk, dealt out by code and written in its order."""
 
-    if len(shards) == 1:
-        return one(shards[0], df)
-    keyed = df.withColumn("_x", F.xxhash64(text, F.length(text)))
-    parts = [one(s, keyed.select("_x", text)).select("_x", "logp", "n_symbols") for s in shards]
-    sums = reduce(DataFrame.union, [p.dropDuplicates(["_x"]) for p in parts]).groupBy("_x").agg(F.sum("logp").alias("logp"), F.max("n_symbols").alias("n_symbols"))
-    return keyed.join(sums, "_x").drop("_x")
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(chunk: int, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(codes), 100_000):
+                part = codes[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part)], names=["_chunk", "code"])
+
+        now, codes = None, np.zeros(0, np.int64)
+        for b in batches(source, 1 << 20):
+            ids = np.asarray(b.column(0))
+            for chunk in dict.fromkeys(ids.tolist()):
+                if now is not None and chunk != now:
+                    yield from done(now, codes)
+                    codes = codes[:0]
+                now, own = chunk, b.column(1).filter(pa.array(ids == chunk))
+                codes = np.union1d(codes, grams([t.as_py() or "" for t in own], order)[0])
+        if now is not None:
+            yield from done(now, codes)
+
+    return chunked.select("_chunk", text).mapInArrow(run, "_chunk long, code long").repartition("code").distinct()
+
+
+def perplexities(df: DataFrame, model: Model, text: str = "text", order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
+    """df plus logp double and n_symbols long; null and empty texts have 0 of both. Columns of these names are replaced.
+
+    A chunk's distinct n-grams are joined with the model's tables and the values go back to the chunk.
+    """
+    df = df.drop("logp", "n_symbols")
+    place, schema = df.columns.index(text), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    chunked = in_chunks(df, chunk)
+    codes = materialise(chunk_codes(chunked, text, order).sortWithinPartitions("code", "_chunk"), "codes")
+    values = codes.join(model.logp(codes.select("code").distinct()), "code").select("_chunk", "code", "logp")
+
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        code, value = own.column("code").to_numpy(), own.column("logp").to_numpy()
+        by = np.argsort(code)
+        code, value = code[by], value[by].astype(np.float64)
+        rows = rows.drop_columns(["_chunk"])
+        logp, n = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for part in rows.to_batches():
+            for b in batches(iter([part]), 1 << 20):  # some ten arrays of eight bytes a symbol are alive at once
+                asked, sizes = grams([t.as_py() or "" for t in b.column(place)], order)
+                at = np.searchsorted(code, asked)
+                if len(asked) and (at.max() >= len(code) or (code[at] != asked).any()):
+                    raise ValueError("n-grams of a chunk without a value")
+                sums, ends = np.append(0.0, np.cumsum(value[at])), np.append(0, np.cumsum(sizes))
+                logp.append(sums[ends[1:]] - sums[ends[:-1]])
+                n.append(sizes)
+        return rows.append_column("logp", pa.array(np.concatenate(logp))).append_column("n_symbols", pa.array(np.concatenate(n)))
+
+    both = chunked.groupBy("_chunk").cogroup(values.groupBy("_chunk"))
+    return both.applyInArrow(run, f"{schema}, logp double, n_symbols long")
 
 
 def score_of(logp: str = "logp", n: str = "n_symbols"):
@@ -244,14 +257,15 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     docs = docs.drop("perplexity", "threshold", "kept")
     trusted = trusted_of(reference if reference is not None else docs, labels, key).select(key, text, lang)
     held = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(HELD_OUT)) == 0
-    shards = shards_of(*fit(trusted.where(~held), text, order), order)
-    scored = perplexities(trusted.where(held), shards, text, order).select(lang, score_of().alias("score")).where("score > 0")
+    grams_, contexts = fit(trusted.where(~held), text, order)
+    model = shards_of(grams_, materialise(contexts, "contexts"), order)
+    scored = perplexities(trusted.where(held), model, text, order).select(lang, score_of().alias("score")).where("score > 0")
     own, whole = thresholds(scored, lang)
     mine = F.coalesce(lang, F.lit(""))
     limit = F.lit(whole).cast("double")
     for k, v in sorted(own.items()):
         limit = F.when(mine == k, v).otherwise(limit)
-    out = perplexities(docs, shards, text, order).withColumns({"_s": score_of(), "_l": limit})
+    out = perplexities(docs, model, text, order).withColumns({"_s": score_of(), "_l": limit})
     out = out.withColumns({"perplexity": F.exp("_s"), "threshold": MARGIN * F.exp("_l")})
     level = (F.col("_s") * F.col("n_symbols") + F.col("_l") * PRIOR) / (F.col("n_symbols") + PRIOR)
     out = out.withColumn("kept", F.coalesce(level <= F.col("_l") + math.log(MARGIN), F.lit(True)))

@@ -267,6 +267,24 @@ def test_kneser_ney_brute_force(spark, rows):
         assert r.logp == pytest.approx(sum(math.log(p(tuple(s[i - 2 : i + 1]))) for i in range(2, len(s))), abs=1e-4)
 
 
+def test_quality_model_stays_a_table(spark, monkeypatch):
+    rng = random.Random(5)
+    train = ["e".join(rng.choice("abcd") for _ in range(200)) for _ in range(5)]
+    texts = ["e" + rng.choice("abcdz") * rng.randrange(4) + "aebe" for _ in range(40)] + ["", None]
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("broadcast of the model"))
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda *_: pytest.fail("the model goes to the driver"))
+    p = brute_kneser_ney(train, 3)
+    model = quality_model.shards_of(*quality_model.fit(spark.createDataFrame([(t,) for t in train], "text string"), order=3), 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    out = quality_model.perplexities(df, model, order=3, chunk=100).collect()
+    assert sorted(r.id for r in out) == list(range(len(texts)))
+    for r in out:
+        s = [1, 1] + quality_model.symbols(r.text or "").tolist()
+        assert r.n_symbols == len(s) - 2
+        assert r.logp == pytest.approx(sum(math.log(p(tuple(s[i - 2 : i + 1]))) for i in range(2, len(s))), abs=1e-4)
+    assert quality_model.in_chunks(df, 100).select("_chunk").distinct().count() > 4
+
+
 def test_quality_model_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
