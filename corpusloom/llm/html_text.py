@@ -27,7 +27,9 @@ DEPTH = 5
 
 #: Elements by their role in HTML, and names that pages give to parts other than the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small strike strong sub sup time tt u var".split())
+INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small strike strong sub sup time tt u var svg".split())
+#: MathML is text of its paragraph.
+INLINE |= set("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom mfenced menclose mtable mtr mtd semantics".split())
 GAP = set("br img input wbr".split())
 NOT_ARTICLE = set("nav header footer aside form menu dialog button select label fieldset".split())
 ARTICLE = {"article", "main"}
@@ -40,10 +42,16 @@ OTHER_NAMES = set(
 REMARK_NAMES = set("comment comments commentlist disqus reply replies respond discussion".split())
 OTHER_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ARTICLE_NAMES = set("article content post entry story".split())
+#: Class names that begin or end so tell what a page has or how it is laid out, not what the element is.
+STATE_FIRST = set("has no not without with is hide show".split())
+STATE_LAST = set("page layout template enabled disabled open closed on off".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object|canvas|head|title|math|video|audio)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|(?P<open>(?=<body\b))|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|head|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|(?P<open>(?=<body\b))|\Z)"
+    r"|<(?P<empty>svg|canvas|video|audio)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
+    r"|<(?P<drawn>svg)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:(?!<(?:article|main|section|div|p|h[1-6]|ul|ol|table|blockquote)\b).)*?</svg\s*>"
+    r"|<(?P<media>canvas|video|audio)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:(?!<(?:(?P=media)|article|main|h[1-6])\b).)*?</(?P=media)\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s>/]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
     re.S | re.I,
@@ -62,7 +70,10 @@ def place_of(tag: str, rest: str) -> int:
         elif kind == "hidden" or kind == "aria-hidden" and value == "true":
             names.add("hidden")
         else:
-            names |= {x for x in re.split(r"[^a-z]+", value) if x}
+            for name in value.split():
+                parts = [x for x in re.split(r"[^a-z]+", name) if x]
+                if len(parts) < 2 or parts[0] not in STATE_FIRST and parts[-1] not in STATE_LAST:
+                    names.update(parts)
     if tag in NOT_ARTICLE or names & REMARK_NAMES:
         return -2
     if names & OTHER_NAMES or any(x[1:] in OTHER_ROLES for x in names if x[0] == "@"):
@@ -98,7 +109,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
         if not tag or tag in GAP:
             if tag:
                 held.append((" ", False))
-            elif m["raw"] and m["raw"].lower() not in ("svg", "math"):
+            elif m["raw"] or m["media"] or m["empty"] and m["empty"].lower() != "svg":
                 close()
             continue
         if tag in INLINE:

@@ -188,6 +188,20 @@ def test_html(spark):
     assert got[1][0] == "Head & more One. Two two." and got[2] == got[3] == ("", 0)
 
 
+def test_html_keeps_whole_articles(spark):
+    tree, a, b = html_text.fit_tree(spark), html_text._A, html_text._B
+    for tag in ("<svg class=i />", "<math/>", "<video src=x>", "<audio src='y'>", "<canvas>", "<object data=z>", "<svg>", "<video src=u/>"):
+        assert html_text.main_text(f"<article><p>{a}</p>{tag}<p>{b}</p></article><video>no video</video><svg><text>t</text></svg>", tree) == f"{a} {b}", tag
+    assert html_text.main_text(f"<article><p>{a}</p><video>No</video><svg><svg><text>t</text></svg></svg></article>", tree).startswith(a)
+    assert html_text.main_text(f"<article><p>{a} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p></article>", tree) == f"{a} x=2 here."
+    assert html_text.main_text(f"<article><p>{a}</p><object data=z><p>{b}</p></object></article>", tree) == f"{a} {b}"
+    for name in ("post has-comments", "no-sidebar", "social-page"):
+        for tag in ("article", "div"):
+            page = f"<nav><a>Home</a> <a>News</a></nav><{tag} class='{name}'><div><p>{a}</p><p>{b}</p></div></{tag}>"
+            assert html_text.main_text(page, tree) == f"{a} {b}", page
+    assert html_text.main_text(f"<article><p>{a}</p></article><div class='comment-list'><p>{b}</p></div>", tree) == a
+
+
 def test_html_whole_pages(spark):
     import html
 
