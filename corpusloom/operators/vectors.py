@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +20,17 @@ def normalised(a: Column) -> Column:
 
 
 def exact_top(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
-    """query_id, vec_id, score, rank: exact scan for a stated query set of at most `most_queries` rows, broadcast."""
-    asked = queries.limit(most_queries + 1)
-    if asked.count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries; give them in blocks")
-    q = F.broadcast(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")))
-    scored = vectors.crossJoin(q).where("vec_id <> query_id").select("query_id", "vec_id", dot(F.col("embedding"), F.col("_q")).alias("score"))
+    """query_id, vec_id, score, rank: exact scan for all queries, in blocks of at most about `most_queries`, each broadcast."""
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def top(q: DataFrame) -> DataFrame:
+        scored = vectors.crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", dot(F.col("embedding"), F.col("_q")).alias("score"))
+        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    blocks = max(1, -(-asked.count() // most_queries))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.union, [top(asked.where(block == i) if blocks > 1 else asked) for i in range(blocks)])
 
 
 def fuse(ranked: DataFrame, query: str = "query_id", item: str = "item", rank: str = "rank", constant: int = 60) -> DataFrame:

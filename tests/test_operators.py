@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import audit, changes, graph, listing, review, search
+from corpusloom.operators import audit, changes, graph, listing, review, search, vectors
 from corpusloom.sources.tables import files
 from corpusloom.streaming import state
 
@@ -23,6 +23,15 @@ def test_schedule_fold(spark):
     assert (r.interval, round(r.ease, 4), r.reps, r.lapses) == (1, 2.3, 1, 1)
 
 
+def test_exact_top_in_blocks(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(60)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in vectors.exact_top(df, df, 3, most_queries=7).collect()}
+    for q in range(60):
+        by = sorted((-(i % 7) * (q % 7) - (i % 11) * (q % 11), i) for i in range(60) if i != q)
+        assert [got[q, r] for r in (1, 2, 3)] == [i for _, i in by[:3]]
+    assert len(got) == 180
+
+
 def test_fuzzy(spark):
     def plain(q, t):
         score, at, streak = 0, 0, 0
