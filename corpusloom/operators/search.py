@@ -1,4 +1,4 @@
-"""Lexical search: query terms, trigram postings, BM25 of phrases, merging, snippets, fuzzy scores."""
+"""Lexical search: query terms, trigram postings, BM25 of phrases, snippets, fuzzy scores."""
 
 from __future__ import annotations
 
