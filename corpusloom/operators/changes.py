@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..streaming.state import decided
 
 
 def keep_newest(df: DataFrame, key: str, order: list, most: int) -> DataFrame:
@@ -14,14 +15,8 @@ def keep_newest(df: DataFrame, key: str, order: list, most: int) -> DataFrame:
 
 
 def thinned(df: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """key, at of the rows that are kept when each must be `seconds` or more after the last kept one: a fold, not a lag."""
-    times = F.array_sort(F.collect_list(F.unix_micros(F.col(at).cast("timestamp"))))
-    gap = seconds * 1_000_000
-    fold = F.aggregate(
-        times, F.array().cast("array<bigint>"),
-        lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(t))).otherwise(kept),
-    )
-    return df.groupBy(key).agg(fold.alias("_k")).select(key, F.explode("_k").alias("_t")).select(key, F.timestamp_micros("_t").alias(at))
+    """key, at of the rows that are kept when each must be `seconds` or more after the last kept one; rows are streamed."""
+    return decided(df, [key], at, 1, seconds * 1_000_000 - 1).where("allowed").select(key, at)
 
 
 def patch(current: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -6,28 +6,43 @@ document service: limits of calls, arrival without repeats, minutes of sessions.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def decided(df: DataFrame, keys: list[str], at: str, most: int, span: int) -> DataFrame:
+    """keys, at, allowed: rows in order of time by key, each allowed while fewer than `most` allowed ones lie within
+    `span` microseconds before it. Rows are streamed; what is held of a key is its last `most` allowed times."""
+    rows = df.select(*keys, F.unix_micros(F.col(at).cast("timestamp")).alias("_t")).where("_t IS NOT NULL")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _ok boolean"
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, deque()
+        for b in source:
+            own, ok = zip(*(c.to_pylist() for c in b.columns[:-1]), strict=True), []
+            for key, t in zip(own, b.columns[-1].to_pylist(), strict=True):
+                if key != now:
+                    now, kept = key, deque()
+                while kept and t - kept[0] > span:
+                    kept.popleft()
+                ok.append(len(kept) < most)
+                if ok[-1]:
+                    kept.append(t)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_())], names=[*b.schema.names, "_ok"])
+
+    out = rows.repartition(*keys).sortWithinPartitions(*keys, "_t").mapInArrow(run, schema)
+    return out.select(*keys, F.timestamp_micros("_t").alias(at), F.col("_ok").alias("allowed"))
+
+
 def limited(df: DataFrame, keys: list[str], at: str, most: int, seconds: int) -> DataFrame:
     """keys, at, allowed: a call is allowed while fewer than `most` allowed ones lie within `seconds`; refused calls
-    don't count. A fold over each key's ordered calls (batch form)."""
-    times = F.array_sort(F.collect_list(F.unix_micros(F.col(at).cast("timestamp"))))
-    span = seconds * 1_000_000
-    kind = "struct<kept:array<bigint>,out:array<struct<t:bigint,ok:boolean>>>"
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<struct<t:bigint,ok:boolean>>").alias("out")).cast(kind)
-
-    def step(s, t):
-        live = F.filter(s["kept"], lambda x: t - x <= span)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.concat(live, F.array(t))).otherwise(live).alias("kept"), F.concat(s["out"], F.array(F.struct(t.alias("t"), ok.alias("ok")))).alias("out")).cast(kind)
-
-    folded = df.groupBy(*keys).agg(F.aggregate(times, start, step, lambda s: s["out"]).alias("_o"))
-    return folded.select(*keys, F.explode("_o").alias("_x")).select(*keys, F.timestamp_micros("_x.t").alias(at), F.col("_x.ok").alias("allowed"))
+    don't count (batch form)."""
+    return decided(df, keys, at, most, seconds * 1_000_000)
 
 
 def limited_stream(stream: DataFrame, key: str, at: str, most: int, seconds: int) -> DataFrame:

@@ -72,6 +72,27 @@ def test_limiter_edges(spark):
     assert got == [True, True, False, False, True, True]
 
 
+def test_limits_hold_no_group(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, t0 + dt.timedelta(seconds=(i * i * 7) % 997)) for k, n in (("a", 300), ("b", 5), (None, 20)) for i in range(n)] + [("a", None)]
+    df = spark.createDataFrame(rows, "client string, ts timestamp_ntz")
+    calls, kept = state.limited(df, ["client"], "ts", 3, 10), changes.thinned(df, "client", "ts", 10)
+    want_calls, want_kept = [], []
+    for k in ("a", "b", None):
+        live, last = [], None
+        for t in sorted(t for c, t in rows if c == k and t):
+            ok = sum((t - x).total_seconds() <= 10 for x in live) < 3
+            live += [t] if ok else []
+            want_calls.append((str(k), t, ok))
+            if last is None or (t - last).total_seconds() >= 10:
+                last = t
+                want_kept.append((str(k), t))
+    assert sorted((str(r.client), r.ts.replace(tzinfo=None), r.allowed) for r in calls.collect()) == sorted(want_calls)
+    assert sorted((str(r.client), r.ts.replace(tzinfo=None)) for r in kept.collect()) == sorted(want_kept)
+    for out in (calls, kept):
+        assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_limiter_stream(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     rows = [("a", t0 + dt.timedelta(seconds=s)) for s in (0, 1, 2, 10, 11, 12)]
