@@ -17,13 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder that driver and executors share; a temporary one only on a local master that names none (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = sc.getCheckpointDir()
     if own is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         own = sc.getCheckpointDir()
     return own.rstrip("/")
@@ -37,12 +39,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+class Scratch:
+    """Tables written in the shared folder for one operator's run, each dropped after its last reader."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df written and read again."""
+        path = f"{self.root}/{name}-{len(self.paths)}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(t)][0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """DataFrame.checkpoint() with the folder made sure of; for small id tables."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all of df's columns."""
+    pad, known = "_", {c.lower() for c in df.columns}
+    while any(f"{pad}{n}".lower() in known for n in names):
+        pad += "_"
+    return [f"{pad}{n}" for n in names]
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value worked out once per row even where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

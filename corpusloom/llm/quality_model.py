@@ -1,15 +1,22 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Symbols are characters (digits as one, white space as one), n-grams are ORDER of them. Trusted text is every document
-with label quality 1 that isn't labelled toxic; its n-grams are counted in the tasks and summed by Spark. Lower orders
-count distinct left neighbours. Discounts come from the counts of counts; probabilities and back-off weights are joins
-of each order's counts with those of its contexts and with the order below, dealt out by context. The model stays a
-table of n-grams: nothing of it is collected or broadcast. Documents lie in chunks of about CHUNK bytes; the
-distinct n-grams of a chunk are joined with the model, and a chunk's texts meet their values in one task.
+Symbols are the bytes of the text in UTF-8 (digits as one, control characters and spaces as one), so that no two
+characters share one; n-grams are ORDER of them. Trusted text is every document with label quality 1 that isn't
+labelled toxic; its n-grams are counted in the tasks and summed by Spark. Lower orders count distinct left neighbours.
+Discounts come from the counts of counts; probabilities and back-off weights are joins of each order's counts with
+those of its contexts and with the order below.
+
+Scoring joins counts with counts, in shards. The model stays a table of n-grams, dealt out by the last two symbols of an
+n-gram's context, so that all that an n-gram may back off to lies in its shard (orders 1 and 2, at most 65,792 n-grams,
+lie in every one). Rows of documents are taken in chunks of about CHUNK bytes of text, and a chunk sends its distinct
+n-grams, packed, to the shards and gets their values back. Texts meet their chunk's values packed as well. Nothing of
+the model is collected or broadcast, and shards hold about SHARD_ROWS n-grams (256 ** 3 at the very most in an n-gram's
+hottest pair of symbols, whatever the input).
 
 One in HELD_OUT trusted documents, by the hash of its key, is kept out of the counts and sets the limits: a document is
-rejected when its perplexity is above MARGIN times the QUANTILE of its language's held-out documents; languages with
-fewer than LEAST of them take the quantile over all held-out documents. Without those nothing is rejected. Quantiles are exact over bins of 0.001 in log-perplexity.
+rejected when its perplexity is above the QUANTILE of its language's held-out documents; languages with fewer than LEAST
+of them take the quantile over all held-out documents. Without those nothing is rejected. Quantiles are exact over bins
+of 0.001 in log-perplexity.
 """
 
 from __future__ import annotations
@@ -20,40 +27,40 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
-from .tokens import batches
+from .common import Scratch, free_names, materialise, table
+from .tokens import batches, compact
 
-ORDER, BITS, SHARD_ROWS, BROADCAST_IDS, CHUNK, TASKS = 5, 12, 3_000_000, 1_000_000, 64 << 20, 4
-QUANTILE, MARGIN, LEAST, PRIOR, HELD_OUT = 0.99, 1.5, 50, 200, 5
+ORDER, BITS, SHARD_ROWS, BROADCAST_IDS, CHUNK, PIECE, LOOKUP = 5, 8, 1_000_000, 1_000_000, 32 << 20, 2 << 20, 4 << 20
+QUANTILE, LEAST, HELD_OUT = 0.99, 50, 5
 START, SYMBOLS = 1, 1 << BITS
 
+#: The symbol of each byte.
+TABLE = np.arange(256, dtype=np.int64)
+TABLE[48:58], TABLE[:33] = 48, 32
+
 
 def symbols(text: str) -> np.ndarray:
-    """The text as symbols below 2**BITS: code points below 2048 themselves, the others hashed to the upper half."""
-    point = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    point = np.where(point < 2048, point, 2048 + (point * 2654435761 >> 7) % 2048)
-    point[(point >= 48) & (point < 58)] = 48
-    point[(point <= 32) | (point == 160)] = 32
-    return point
+    """The text's bytes, digits as 48, bytes up to 32 as 32."""
+    return TABLE[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
 
 
-def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """(codes of all n-grams of all texts, number of them by text); one for each symbol, START before the first."""
-    parts = [symbols(t) for t in texts]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    pad = np.full(order - 1, START, np.int64)
-    flat = np.concatenate([x for p in parts for x in (pad, p)] or [pad])
+    texts = compact(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    sizes, pad = np.diff(ends), order - 1
+    flat = np.full(len(data) + pad * len(sizes), START, np.int64)
+    real = np.arange(len(data)) + pad * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    flat[real] = TABLE[data]
     code = flat.copy()
     for k in range(1, order):
-        code[k:] |= (flat[:-k] << (BITS * k)) if k < len(flat) else 0
-    real = np.ones(len(flat), bool)
-    starts = np.cumsum(sizes + order - 1) - (sizes + order - 1)
-    for k in range(order - 1):
-        real[starts + k if len(starts) else [k]] = False
+        code[k:] |= flat[:-k] << (BITS * k) if k < len(flat) else 0
     return code[real], sizes
 
 
@@ -63,7 +70,7 @@ def count_grams(df: DataFrame, text: str = "text", order: int = ORDER) -> DataFr
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches(source, 2 << 20):
-            new, n = np.unique(grams([t.as_py() or "" for t in b.column(0)], order)[0], return_counts=True)
+            new, n = np.unique(grams(b.column(0), order)[0], return_counts=True)
             codes, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
             counts = np.bincount(back, np.concatenate([counts, n]), len(codes)).astype(np.int64)
             if len(codes) > SHARD_ROWS:
@@ -86,9 +93,10 @@ def discounts(counts: DataFrame) -> list[float]:
 def fit(trusted: DataFrame, text: str = "text", order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     """(grams: k, code, logp; contexts: k, code, back), k from 1 to order; both empty without trusted text."""
     mask = lambda k: (1 << (BITS * k)) - 1
-    counts = {order: materialise(count_grams(trusted, text, order), "counts")}
+    disk = Scratch(trusted.sparkSession, "model")
+    counts = {order: disk.keep(count_grams(trusted, text, order), "counts")}
     for k in range(order - 1, 0, -1):
-        counts[k] = materialise(counts[k + 1].groupBy(F.col("code").bitwiseAND(mask(k)).alias("code")).agg(F.count("*").alias("n")), "counts")
+        counts[k] = disk.keep(counts[k + 1].groupBy(F.col("code").bitwiseAND(mask(k)).alias("code")).agg(F.count("*").alias("n")), "counts")
     below, all_grams, all_contexts = None, [], []
     for k in range(1, order + 1):
         d = discounts(counts[k])
@@ -100,145 +108,202 @@ def fit(trusted: DataFrame, text: str = "text", order: int = ORDER) -> tuple[Dat
         if below is not None:
             p, lower = p.join(below, "suffix"), F.col("low")
         p = p.select("code", (F.col("rest") / F.col("whole") + F.col("gamma") * lower).alias("p"))
-        p = materialise(p, "grams")
+        p = disk.keep(p, "grams")
         below = p.select(F.col("code").alias("suffix"), F.col("p").alias("low"))
         all_grams.append(p.select(F.lit(k).alias("k"), "code", F.log("p").cast("float").alias("logp")))
-        all_contexts.append(ctx.select(F.lit(k).alias("k"), F.col("ctx").alias("code"), F.log("gamma").cast("float").alias("back")))
+        all_contexts.append(disk.keep(ctx.select(F.lit(k).alias("k"), F.col("ctx").alias("code"), F.log("gamma").cast("float").alias("back")), "contexts"))
+    disk.drop(*counts.values())
     return reduce(DataFrame.union, all_grams), reduce(DataFrame.union, all_contexts)
 
 
 class Model:
-    """The fitted tables, which stay tables of Spark. len() is the least number of partitions that their joins need."""
+    """The fitted tables, which stay tables of Spark, dealt to len() shards by the last two symbols of the context."""
 
-    def __init__(self, grams_: DataFrame, contexts: DataFrame, order: int, parts: int):
-        self.grams, self.contexts, self.order, self.parts = grams_, contexts, order, parts
+    def __init__(self, grams_: DataFrame, contexts: DataFrame, order: int, shards: int):
+        self.grams, self.contexts, self.order, self.shards = grams_, contexts, order, shards
 
     def __len__(self) -> int:
-        return self.parts
-
-    def logp(self, codes: DataFrame) -> DataFrame:
-        """(code, logp) of distinct codes of `order` symbols: an n-gram's own value, or back-off weight and that of its suffix.
-
-        Works upwards over the distinct suffixes that were not found, so that no join key of either side has more than
-        SYMBOLS rows (a code is its context and one symbol, and its suffix and one symbol) and no context is hot.
-        """
-        spark = codes.sparkSession
-        parts = max(self.parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        ctx, none = F.shiftright("code", BITS).alias("ctx"), F.lit(None).cast("float")
-        need, found = codes.select("code"), {}
-        for k in range(self.order, 0, -1):  # one exchange an order: what is asked, n-grams and contexts meet by context
-            rows = need.select(ctx, "code", F.lit(True).alias("need"), none.alias("logp"), none.alias("back"))
-            rows = rows.union(self.grams.where(F.col("k") == k).select(ctx, "code", F.lit(None).cast("boolean"), "logp", none))
-            rows = rows.union(self.contexts.where(F.col("k") == k).select(F.col("code"), F.lit(None).cast("long"), F.lit(None).cast("boolean"), none, "back"))
-            rows = rows.repartition(parts, "ctx") if parts == self.parts > 1 else rows.repartition("ctx")
-            rows = rows.groupBy("ctx", "code").agg(*[F.max(c).alias(c) for c in ("need", "logp", "back")])
-            rows = rows.withColumn("back", F.max("back").over(Window.partitionBy("ctx"))).where("need").select("code", "logp", "back")
-            found[k] = materialise(rows, "found")
-            need = found[k].where("logp IS NULL").select(F.col("code").bitwiseAND((1 << (BITS * (k - 1))) - 1).alias("code")).distinct()
-        below = None
-        for k in range(1, self.order + 1):
-            out = found[k].where("logp IS NOT NULL").select("code", "logp")
-            missed = found[k].where("logp IS NULL").select("code", F.coalesce("back", F.lit(0.0)).cast("float").alias("back"), F.col("code").bitwiseAND((1 << (BITS * (k - 1))) - 1).alias("suffix"))
-            missed = missed.withColumn("low", F.lit(-math.log(SYMBOLS))) if below is None else missed.join(below, "suffix")
-            out = out.union(missed.select("code", (F.col("back") + F.col("low")).cast("float").alias("logp")))
-            below = out.select(F.col("code").alias("suffix"), F.col("logp").alias("low"))
-        return out
+        return self.shards
+
+    def rows(self) -> DataFrame:
+        """(shard, k, code, value): n-grams of order k, and at -k the back-off weights of the contexts of order k."""
+        every = F.sequence(F.lit(0), F.lit(self.shards - 1))
+
+        def of(df: DataFrame, sign: int, value: str, shift: int) -> DataFrame:
+            pair = F.shiftright("code", shift).bitwiseAND((1 << (2 * BITS)) - 1)
+            own = F.shiftright((pair * F.lit(2654435761)).bitwiseAND(0xFFFFFFFF), 16) % self.shards
+            place = F.when(F.col("k") <= 2, every).otherwise(F.array(own.cast("int")))
+            return df.select(F.explode(place).alias("shard"), (F.lit(sign) * F.col("k")).alias("k"), "code", F.col(value).alias("value"))
+
+        return of(self.grams, 1, "logp", BITS).union(of(self.contexts, -1, "back", 0))
+
+    def shard_of(self, codes: np.ndarray) -> np.ndarray:
+        pair = (codes >> BITS) & ((1 << (2 * BITS)) - 1)
+        return ((pair * 2654435761 & 0xFFFFFFFF) >> 16) % self.shards
 
 
 def shards_of(grams_: DataFrame, contexts: DataFrame, order: int = ORDER, rows: int = SHARD_ROWS) -> Model:
-    """The model, dealt out in its joins by the whole code so that a partition holds about `rows` n-grams at most."""
-    return Model(grams_, contexts, order, max(1, -(-grams_.count() // rows)))
+    """The model in shards of about `rows` n-grams; one more for each `rows` of them."""
+    return Model(grams_, contexts, order, min(1 << (2 * BITS), max(1, -(-grams_.count() // rows))))
 
 
-def in_chunks(df: DataFrame, most: int = CHUNK, tasks: int = TASKS) -> DataFrame:
-    """df with _chunk long, about `most` bytes of rows together, from `tasks` tasks; written, so that it stands."""
+def values_of(codes: np.ndarray, rows: pa.Table, order: int) -> np.ndarray:
+    """log p of each code from one shard's rows: an n-gram's own value, or back-off weight and that of its suffix."""
+    k, code, value = (rows.column(c).to_numpy() for c in ("k", "code", "value"))
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, at, held = TaskContext.get().partitionId() // tasks << 32, 0, 0
-        for b in batches(source, min(most // tasks, 1 << 20)):
-            if held and held + b.nbytes > most // tasks:
-                at, held = at + 1, 0
-            held += b.nbytes
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, task + at))], names=[*b.schema.names, "_chunk"])
+    def found(level: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.flatnonzero(k == level)
+        by = own[np.argsort(code[own], kind="stable")]
+        if not len(by):
+            return np.zeros(len(asked), bool), np.zeros(len(asked))
+        at = by[np.minimum(np.searchsorted(code[by], asked), len(by) - 1)]
+        return code[at] == asked, value[at].astype(np.float64)
+
+    out, left, now = np.zeros(len(codes)), np.arange(len(codes)), codes
+    for n in range(order, 0, -1):
+        there, logp = found(n, now)
+        out[left[there]] += logp[there]
+        left, now = left[~there], now[~there]
+        there, back = found(-n, now >> BITS)
+        out[left] += np.where(there, back, 0.0)
+        now = now & ((1 << (BITS * (n - 1))) - 1)
+    out[left] -= math.log(SYMBOLS)
+    return out
+
+
+def packed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return materialise(df.mapInArrow(run, f"{schema}, _chunk long"), "chunks")
 
+def unpacked(blob: bytes, n: int, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
-def chunk_codes(chunked: DataFrame, text: str, order: int) -> DataFrame:
-    """(_chunk, code): the distinct n-grams of each chunk, dealt out by code and written in its order."""
+
+def in_chunks(source: Iterator[pa.RecordBatch], place: int, chunk: int = CHUNK, piece: int = PIECE) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk, rows): a partition's rows in chunks of about `chunk` bytes of text, in pieces of about `piece` bytes.
+
+    A chunk's number depends on the partition and the text bytes before a row in it alone, not on Arrow's batches.
+    """
+    held, task = 0, TaskContext.get().partitionId() << 32
+    for b in source:
+        size = pc.fill_null(pc.binary_length(b.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = held + np.cumsum(size) - size
+        held += int(size.sum())
+        mark = before // chunk * (1 << 20) + before % chunk // piece
+        cuts = [0, *(np.flatnonzero(np.diff(mark)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                yield task + int(before[lo] // chunk), b.slice(lo, hi - lo)
+
+
+def chunk_codes(df: DataFrame, text: str, model: Model, chunk: int = CHUNK) -> DataFrame:
+    """(_chunk, shard, n, codes): for each chunk and shard its distinct n-grams, sorted and packed."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(chunk: int, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(codes), 100_000):
-                part = codes[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part)], names=["_chunk", "code"])
-
-        now, codes = None, np.zeros(0, np.int64)
-        for b in batches(source, 1 << 20):
-            ids = np.asarray(b.column(0))
-            for chunk in dict.fromkeys(ids.tolist()):
-                if now is not None and chunk != now:
-                    yield from done(now, codes)
-                    codes = codes[:0]
-                now, own = chunk, b.column(1).filter(pa.array(ids == chunk))
-                codes = np.union1d(codes, grams([t.as_py() or "" for t in own], order)[0])
+        def done(at: int, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            shard = model_shards(codes)
+            for s in np.unique(shard):
+                own = codes[shard == s]
+                cols = [pa.array([at], pa.int64()), pa.array([s], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([packed(np.diff(own, prepend=0))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["_chunk", "shard", "n", "codes"])
+
+        now, held = None, []
+        for at, b in in_chunks(source, 0, chunk):
+            if now is not None and at != now:
+                yield from done(now, np.unique(np.concatenate(held)))
+                held = []
+            now = at
+            held.append(np.unique(grams(b.column(0), order)[0]))
+            if len(held) > 8:
+                held = [np.unique(np.concatenate(held))]
         if now is not None:
-            yield from done(now, codes)
+            yield from done(now, np.unique(np.concatenate(held)))
+
+    model_shards, order = Model(None, None, model.order, model.shards).shard_of, model.order
+    return df.select(text).mapInArrow(run, "_chunk long, shard int, n long, codes binary")
+
+
+def chunk_values(codes: DataFrame, model: Model, lookup: int = LOOKUP) -> DataFrame:
+    """codes plus values (packed log p). A shard's chunks are split so that a task gets about `lookup` bytes of them."""
+    size = codes.agg(F.sum(F.length("codes"))).first()[0] or 0
+    parts, order = max(1, -(-size // (lookup * model.shards))), model.order
+    left = model.rows().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = codes.withColumn("part", F.pmod(F.xxhash64("_chunk"), F.lit(parts)).cast("int"))
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        n = asked.column("n").to_pylist()
+        every = [np.cumsum(unpacked(x.as_py(), k, np.int64)) for x, k in zip(asked.column("codes"), n, strict=True)]
+        whole, back = np.unique(np.concatenate([*every, np.zeros(0, np.int64)]), return_inverse=True)
+        got = values_of(whole, rows, order).astype(np.float32)[back]
+        ends = np.append(0, np.cumsum(n)).astype(np.int64)
+        blobs = pa.array([packed(got[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+        return asked.select(["_chunk", "n", "codes"]).append_column("values", blobs)
 
-    return chunked.select("_chunk", text).mapInArrow(run, "_chunk long, code long").repartition("code").distinct()
+    both = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part"))
+    return both.applyInArrow(run, "_chunk long, n long, codes binary, values binary")
 
 
-def perplexities(df: DataFrame, model: Model, text: str = "text", order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
-    """df plus logp double and n_symbols long; null and empty texts have 0 of both. Columns of these names are replaced.
+def perplexities(df: DataFrame, model: Model, text: str = "text", chunk: int = CHUNK, names: tuple[str, str] = ("logp", "n_symbols")) -> DataFrame:
+    """df plus logp double and n_symbols long (`names`); null and empty texts have 0 of both. Columns of these names are replaced.
 
-    A chunk's distinct n-grams are joined with the model's tables and the values go back to the chunk.
+    df is read twice, and its partitions have to hold the same rows both times, as those of files do; else write it
+    first (an n-gram without a value is an error, never a wrong sum). A very long text is a chunk's piece of its own.
     """
-    df = df.drop("logp", "n_symbols")
-    place, schema = df.columns.index(text), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    chunked = in_chunks(df, chunk)
-    codes = materialise(chunk_codes(chunked, text, order).sortWithinPartitions("code", "_chunk"), "codes")
-    values = codes.join(model.logp(codes.select("code").distinct()), "code").select("_chunk", "code", "logp")
+    df = df.drop(*names)
+    place, order, schema = df.columns.index(text), model.order, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    disk = Scratch(df.sparkSession, "perplexities")
+    codes = disk.keep(chunk_codes(df, text, model, chunk), "codes")
+    values = disk.keep(chunk_values(codes, model), "values")
+    disk.drop(codes)
+
+    def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, b in in_chunks(source, place, chunk):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["_chunk", "rows"])
 
     def run(rows: pa.Table, own: pa.Table) -> pa.Table:
-        code, value = own.column("code").to_numpy(), own.column("logp").to_numpy()
+        n = own.column("n").to_pylist()
+        code = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpacked(x.as_py(), k, np.int64)) for x, k in zip(own.column("codes"), n, strict=True))])
+        value = np.concatenate([np.zeros(0, np.float32), *(unpacked(x.as_py(), k, np.float32) for x, k in zip(own.column("values"), n, strict=True))])
         by = np.argsort(code)
-        code, value = code[by], value[by].astype(np.float64)
-        rows = rows.drop_columns(["_chunk"])
-        logp, n = [np.zeros(0)], [np.zeros(0, np.int64)]
-        for part in rows.to_batches():
-            for b in batches(iter([part]), 1 << 20):  # some ten arrays of eight bytes a symbol are alive at once
-                asked, sizes = grams([t.as_py() or "" for t in b.column(place)], order)
+        code, value, out = code[by], value[by].astype(np.float64), []
+        for blob in rows.column("rows"):
+            for b in pa.ipc.open_stream(blob.as_buffer()):
+                asked, sizes = grams(b.column(place), order)
                 at = np.searchsorted(code, asked)
                 if len(asked) and (at.max() >= len(code) or (code[at] != asked).any()):
-                    raise ValueError("n-grams of a chunk without a value")
+                    raise ValueError("n-grams of a chunk without a value: df gave other rows the second time")
                 sums, ends = np.append(0.0, np.cumsum(value[at])), np.append(0, np.cumsum(sizes))
-                logp.append(sums[ends[1:]] - sums[ends[:-1]])
-                n.append(sizes)
-        return rows.append_column("logp", pa.array(np.concatenate(logp))).append_column("n_symbols", pa.array(np.concatenate(n)))
+                cols = [*b.columns, pa.array(sums[ends[1:]] - sums[ends[:-1]]), pa.array(sizes)]
+                out.append(pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *names]))
+        return pa.Table.from_batches(out) if out else empty
 
-    both = chunked.groupBy("_chunk").cogroup(values.groupBy("_chunk"))
-    return both.applyInArrow(run, f"{schema}, logp double, n_symbols long")
+    kinds = df.limit(0).toArrow().schema
+    empty = pa.schema([*kinds, pa.field(names[0], pa.float64()), pa.field(names[1], pa.int64())]).empty_table()
+    both = df.mapInArrow(pack, "_chunk long, rows binary").groupBy("_chunk").cogroup(values.groupBy("_chunk"))
+    return both.applyInArrow(run, f"{schema}, `{names[0]}` double, `{names[1]}` long")
 
 
-def score_of(logp: str = "logp", n: str = "n_symbols"):
+def score_of(logp: str = "logp", n: str = "n_symbols") -> Column:
     """Log-perplexity; an empty text has 0."""
     return F.when(F.col(n) > 0, -F.col(logp) / F.col(n)).otherwise(0.0)
 
 
-def thresholds(trusted: DataFrame, lang: str = "lang", quantile: float = QUANTILE, least: int = LEAST) -> tuple[dict, float | None]:
-    """({language: log-perplexity at the quantile}, the same over all); from rows with lang and score."""
+def thresholds(trusted: DataFrame, lang: str = "lang", quantile: float = QUANTILE, least: int = LEAST) -> tuple[DataFrame, float | None]:
+    """((lang, limit): log-perplexity at each language's quantile, the same over all); from rows with lang and score."""
     bins = trusted.select(F.coalesce(lang, F.lit("")).alias("lang"), F.round("score", 3).alias("score")).groupBy("lang", "score").agg(F.count("*").alias("n"))
     bins = materialise(bins, "bins")
 
     def at_quantile(df: DataFrame, by: list[str]) -> DataFrame:
         w = Window.partitionBy(*by)
         run = df.withColumns({"up": F.sum("n").over(w.orderBy("score")), "all": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-        return run.where(F.col("up") >= quantile * F.col("all")).groupBy(*by).agg(F.min("score").alias("score"), F.max("all").alias("all"))
+        return run.where(F.col("up") >= quantile * F.col("all")).groupBy(*by).agg(F.min("score").alias("limit"), F.max("all").alias("all"))
 
-    own = {r["lang"]: r["score"] for r in at_quantile(bins, ["lang"]).where(F.col("all") >= least).collect()}
+    own = materialise(at_quantile(bins, ["lang"]).where(F.col("all") >= least).select("lang", "limit"), "limits")
     whole = at_quantile(bins.groupBy("score").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("")), ["lang"]).collect()
-    return own, whole[0]["score"] if whole else None
+    return own, whole[0]["limit"] if whole else None
 
 
 def trusted_of(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -247,29 +312,29 @@ def trusted_of(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataF
     return docs.join(F.broadcast(good) if good.count() <= BROADCAST_IDS else good, key, "left_semi")
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, reference: DataFrame | None = None) -> DataFrame:
-    """docs plus perplexity double, threshold double and kept boolean; one row per input row.
+def classify(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, reference: DataFrame | None = None,
+    names: tuple[str, str, str] = ("perplexity", "threshold", "kept"), quantile: float = QUANTILE,
+) -> DataFrame:
+    """docs plus perplexity double, threshold double and kept boolean (`names`); one row per input row.
 
     Empty and null texts have perplexity 1 and are kept: there is nothing in them to judge. Null languages are a
-    language of their own. The longer a text, the less chance moves its perplexity: PRIOR symbols at the threshold's
-    level count with every text. Trusted documents are taken from `reference` (default: docs). Columns of the new names are replaced.
+    language of their own. Trusted documents are taken from `reference` (default: docs). Repeated rows are judged each.
+    Columns of the three names are replaced, all others stay, whatever their names. An empty docs gives no rows, empty
+    labels reject nothing. docs is read several times (see perplexities).
     """
-    docs = docs.drop("perplexity", "threshold", "kept")
-    trusted = trusted_of(reference if reference is not None else docs, labels, key).select(key, text, lang)
-    held = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(HELD_OUT)) == 0
-    grams_, contexts = fit(trusted.where(~held), text, order)
-    model = shards_of(grams_, materialise(contexts, "contexts"), order)
-    scored = perplexities(trusted.where(held), model, text, order).select(lang, score_of().alias("score")).where("score > 0")
-    own, whole = thresholds(scored, lang)
-    mine = F.coalesce(lang, F.lit(""))
-    limit = F.lit(whole).cast("double")
-    for k, v in sorted(own.items()):
-        limit = F.when(mine == k, v).otherwise(limit)
-    out = perplexities(docs, model, text, order).withColumns({"_s": score_of(), "_l": limit})
-    out = out.withColumns({"perplexity": F.exp("_s"), "threshold": MARGIN * F.exp("_l")})
-    level = (F.col("_s") * F.col("n_symbols") + F.col("_l") * PRIOR) / (F.col("n_symbols") + PRIOR)
-    out = out.withColumn("kept", F.coalesce(level <= F.col("_l") + math.log(MARGIN), F.lit(True)))
-    return out.drop("_s", "_l", "logp", "n_symbols")
+    docs = docs.drop(*names)
+    trusted = trusted_of(reference if reference is not None else docs, labels, key).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    held = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(HELD_OUT)) == 0
+    grams_, contexts = fit(trusted.where(~held), "text", order)
+    model = shards_of(grams_, contexts, order)
+    scored = perplexities(trusted.where(held), model).select("lang", score_of().alias("score")).where("score > 0")
+    limits, whole = thresholds(scored, "lang", quantile)
+    logp, n, own, limit = free_names(docs, "logp", "n", "lang", "limit")
+    out = perplexities(docs, model, text, names=(logp, n)).withColumn(own, F.coalesce(lang, F.lit("")))
+    out = out.join(limits.select(F.col("lang").alias(own), F.col("limit").alias(limit)), own, "left")  # one row a language
+    level, most = score_of(logp, n), F.coalesce(F.col(limit), F.lit(whole).cast("double"))
+    return out.select(*docs.columns, F.exp(level).alias(names[0]), F.exp(most).alias(names[1]), F.coalesce(level <= most, F.lit(True)).alias(names[2]))
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
