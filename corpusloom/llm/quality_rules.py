@@ -150,10 +150,10 @@ def _free_name(df: DataFrame) -> str:
     return "_words".ljust(max([6, *(len(c) + 1 for c in df.columns)]), "_")
 
 
-def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """df plus kept boolean by the ordered cascade (all rules, base rules among them).
+def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None, name: str = "kept") -> DataFrame:
+    """df plus kept boolean (`name`) by the ordered cascade (all rules, base rules among them).
 
-    Null and empty texts have no words and fail few_words. One output row per input row; a column named kept is
+    Null and empty texts have no words and fail few_words. One output row per input row; a column of that name is
     replaced. The text is split into words once a row, in a column of a name of its own.
     """
     own = _free_name(df)
@@ -161,7 +161,7 @@ def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) ->
     known = measures(text, F.col(own))
     rules = rules or base_rules(text, known) + further_rules(text, known)
     ordered = [x["rule"] for x in plan(df.select(text), rules, prepare=add)]
-    return add(df).withColumn("kept", cascade(ordered)).drop(own)
+    return add(df).withColumn(name, cascade(ordered)).drop(own)
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:

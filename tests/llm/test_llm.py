@@ -397,3 +397,24 @@ def test_jaccard_join_long_lists(spark, monkeypatch):
     rows = copies(150, 9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_copies(df).collect()} == brute_groups(rows)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    clash = odd_docs(spark).selectExpr("*", "'s' AS source", "1L AS n_chars", "1 AS _kept", "2 AS _row")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    long_text = " ".join(f"w{i}" for i in range(60))
+    rows = clash.union(spark.createDataFrame([(500, long_text), (500, long_text), (500, long_text + " other words at the end of it"), (501, long_text), (None, long_text), (502, None), (502, "")], "doc_id long, text string").selectExpr("*", "'en'", "'c'", "'s'", "1L", "1", "2"))
+    for docs in (rows, rows.limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            got = stage(spark, docs, str(tmp_path))
+            assert got.columns == docs.columns
+            left = got.collect()
+            assert n == 0 and not left or n and (name == "quality rules" or len(left) > 5)
+            if name == "n-gram Jaccard join" and n:
+                mine = [r for r in left if r.doc_id is not None and r.doc_id >= 500]
+                assert sorted((r.doc_id, r.text or "") for r in mine) == [(500, long_text), (502, ""), (502, "")]
+                assert not any(r.text == long_text and r.doc_id is None for r in left)
+        got = corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path))
+        assert (got.count() == 0) == (n == 0)
