@@ -42,7 +42,7 @@ from .common import Scratch, checkpointed, table
 from .tokens import batches, compact
 
 WORDS, SHARE = 5, Fraction(3, 4)
-RANGES, MOST_BINS, LIST_PART, BROADCAST_IDS, TURNS, SMALL, BLOCK = 64, 1 << 27, 50_000, 1_000_000, 2, 32, 256
+RANGES, MOST_BINS, LIST_PART, BROADCAST_IDS, TURNS, SMALL, BLOCK = 64, 1 << 27, 50_000, 1_000_000, 1, 32, 512
 BATCH = 4 << 20
 #: Sets named by the second half of their digest; about n * n / 2 ** 64 of n, far below this bound.
 MOST_CLASHES = 100_000
@@ -235,23 +235,37 @@ def verified(pairs: DataFrame, sets: DataFrame, share: Fraction = SHARE) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): smallest node reachable, for all nodes of edges (a, b). Large star and small star in turns."""
+def components(edges: DataFrame, each: int = 200_000) -> DataFrame:
+    """(node, comp): smallest node reachable, for all nodes of edges (a, b). Large star and small star in turns.
+
+    Steps over few edges run in few tasks: about `each` edges a task.
+    """
     smaller, larger = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
     now = checkpointed(edges.where("a <> b").select(larger, smaller).distinct())
-    last = None
+    parts = max(1, -(-now.count() // each))
+    few = lambda df: df.coalesce(parts)
+    now, last = few(now), None
     while True:
         ways = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ways.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = ways.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        now = checkpointed(small)
+        least = few(ways.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        large = few(few(ways.join(least, "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = few(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = few(large.join(least, "a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
+        now = few(checkpointed(few(few(small).distinct())))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             break
         last = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    return few(now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()))
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, comp) after further links (a, b) of nodes: components of the components that they join."""
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    more = components(both.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    old = comp.join(more.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return checkpointed(old.union(more.join(comp.select("node"), "node", "left_anti").select("node", "comp")))
 
 
 def search(sets: list[np.ndarray], asks: list[bool], comps: np.ndarray, share: Fraction = SHARE, skip: float = 0.0085) -> list[tuple[int, int]]:
@@ -300,7 +314,11 @@ def search(sets: list[np.ndarray], asks: list[bool], comps: np.ndarray, share: F
 
 
 def searched(open_lists: DataFrame, sets: DataFrame, share: Fraction = SHARE, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between components inside long lists (h, node, comp): blocks of queries against blocks of nodes."""
+    """Pairs (a, b) between components inside long lists (h, node, comp): blocks of queries against blocks of nodes.
+
+    Blocks hold 32 bits of each shingle. Where those agree by chance a pair may be found that doesn't link, and none is
+    lost; the pairs, few beyond the links, are verified afterwards.
+    """
     by_comp = open_lists.groupBy("h", "comp").agg(F.count("*").alias("c"))
     whole = by_comp.groupBy("h").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"))
     rows = open_lists.join(whole, "h").select(
@@ -314,11 +332,17 @@ def searched(open_lists: DataFrame, sets: DataFrame, share: Fraction = SHARE, bl
 
     def run(part: pa.Table) -> pa.Table:
         node, comp = part.column("node").to_numpy(), part.column("comp").to_numpy()
-        found = search([np.frombuffer(x.as_py(), np.uint64) for x in part.column("own")], part.column("asks").to_pylist(), comp, share)
+        found = search([np.frombuffer(x.as_py(), np.uint32) for x in part.column("brief")], part.column("asks").to_pylist(), comp, share)
         pairs = {(min(node[i], node[j]), max(node[i], node[j])) for i, j in found}
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
-    return rows.join(sets, "node").groupBy("h", "q", "p").applyInArrow(run, "a long, b long").distinct()
+    def brief(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            cut = [np.frombuffer(x.as_py(), np.uint64).astype(np.uint32).tobytes() for x in b.column("own")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(cut, pa.binary())], names=["node", "brief"])
+
+    asked = sets.join(open_lists.select("node").distinct(), "node", "left_semi").select("node", "own").mapInArrow(brief, "node long, brief binary")
+    return rows.join(asked, "node").groupBy("h", "q", "p").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", share: Fraction = SHARE, words: int = WORDS) -> DataFrame:
@@ -389,9 +413,9 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", share: F
         ways = ways.where(F.col("a").isNotNull() & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         ways = disk.keep(ways.join(tried, ["a", "b"], "left_anti"), "ways")
         found = disk.keep(verified(ways, sets, share), "found")
-        links, tried = links.union(found), tried.union(ways)
+        tried = tried.union(ways)
         if found.count():
-            comp = checkpointed(components(links))
+            comp = merged(comp, found)
             disk.drop(open_lists)
             open_lists = still_open(comp)
 
@@ -400,10 +424,11 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", share: F
     right = small.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("comp").alias("cb"))
     rest = left.join(right, "h").where((F.col("a") < F.col("b")) & apart)
     rest = disk.keep(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    more = disk.keep(verified(rest, sets, share).union(searched(open_lists.where(F.col("c") > SMALL), sets, share)), "more")
+    pairs = disk.keep(rest.union(searched(open_lists.where(F.col("c") > SMALL), sets, share)).distinct(), "pairs")
+    more = disk.keep(verified(pairs, sets, share), "more")
     if more.count():
-        comp = checkpointed(components(links.union(more)))
-    disk.drop(lists, sets, open_lists, rest)
+        comp = merged(comp, more)
+    disk.drop(lists, sets, open_lists, rest, first)
 
     whole = docs.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = whole.where("comp IS NOT NULL").groupBy("comp").agg(F.min("_k").alias("component_id"))
