@@ -2,18 +2,17 @@
 
 Pieces are dealt at random into groups of about GROUP pieces; each group is packed by itself, so no task ever holds
 more than a group, and the price of the cut is at most about one sequence a group. Within a group lengths form a
-histogram. A sequence is opened for the largest piece left and filled up: fillings are enumerated from large to small
-lengths, a filling is left out when another one dominates it (a piece could be exchanged for a larger one that still
-fits, or one more piece would fit), and the search goes through fillings in order of waste. The sum of waste may not
+histogram. A sequence is opened for the largest piece left and filled up: maximal fillings are enumerated, those that
+another one dominates are left out, and the search goes through the others in order of waste. The sum of waste may not
 reach what the incumbent allows: (incumbent - 1) * capacity - total. The incumbent starts as best-fit decreasing and
-is replaced by any better solution; the search ends when it meets the lower bound ceil(total / capacity) or after
-NODES openings, and then the incumbent stands.
+is replaced by any better solution; the search ends when it meets a lower bound or its limits, and then the incumbent
+stands. Small groups are packed in as few sequences as there can be; see complete() for the limits.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .tokens import batches, piece_table
 
-CAPACITY, GROUP, NODES, FILLINGS, DEPTH = 2048, 20_000, 20_000, 8, 6
+CAPACITY, GROUP, STEPS, LOOKS, FILLINGS, DEPTH = 2048, 20_000, 200_000, 1_000, 8, 12
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -47,63 +46,124 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], count: dict[int, int], room: int, most: int = FILLINGS, depth: int = DEPTH) -> list[list[int]]:
-    """At most `most` undominated fillings of `room` from the lengths still there (ascending `sizes`), least waste first.
+def dominates(a: list[int], b: list[int]) -> bool:
+    """Whether the pieces of b can be dealt to pieces of a so that no piece of a gets more than its own length.
 
-    A filling of up to `depth` pieces is maximal: nothing left fits into what it wastes. Of two fillings that differ in
-    one piece only, the one with the smaller piece is dominated; taking the largest fitting length first and going down
-    reaches the undominated ones before the rest, and the search stops at the first filling without waste.
+    Then a packing with b in this bin can be changed into one with a, and b need not be tried (Martello and Toth).
     """
-    found: list[tuple[int, list[int]]] = []
-    looks = [64 * most]
-
-    def go(room: int, top: int, taken: list[int]) -> bool:
-        looks[0] -= 1
-        i = min(top, bisect_left(sizes, room + 1)) - 1
-        tried = 0
-        used = {x: taken.count(x) for x in set(taken)}
-        while i >= 0 and tried < 4 and looks[0] > 0 and len(taken) < depth:
-            x = sizes[i]
-            if count[x] > used.get(x, 0):
-                tried += 1
-                if go(room - x, i + 1, [*taken, x]):
-                    return True
-            i -= 1
-        if not tried:
-            rest = [*taken]
-            used = {x: rest.count(x) for x in set(rest)}
-            j = bisect_left(sizes, room + 1) - 1
-            while j >= 0 and room >= sizes[0]:  # beyond the depth: fill up greedily, so that the filling is maximal
-                x = sizes[j]
-                if x <= room and count[x] > used.get(x, 0):
-                    rest.append(x)
-                    used[x] = used.get(x, 0) + 1
-                    room -= x
-                else:
-                    j -= 1
-            found.append((room, rest))
-            return room == 0
+    if sum(b) > sum(a) or b and max(b) > max(a, default=0):
         return False
 
-    go(room, len(sizes), [])
-    out: list[list[int]] = []
-    for _, f in sorted(found, key=lambda f: (f[0], [-x for x in f[1]])):
-        if f not in out:
-            out.append(f)
-    return out[:most]
+    def deal(i: int, room: tuple[int, ...]) -> bool:
+        return i == len(b) or any(deal(i + 1, (*room[:j], x - b[i], *room[j + 1 :])) for j, x in enumerate(room) if x >= b[i] and x not in room[:j])
+
+    b = sorted(b, reverse=True)
+    return deal(0, tuple(sorted(a, reverse=True)))
+
 
+def fillings(sizes: list[int], count: dict[int, int], room: int, looks: int = LOOKS, most: int = FILLINGS, even: bool = False) -> tuple[list[list[int]], bool, int]:
+    """(undominated fillings of `room` from the lengths still there (ascending `sizes`), least waste first; whether these are all; steps taken).
 
-def complete(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
-    """Bins of lengths; as few as the bounded search finds. Lengths are from 1 to capacity."""
+    Fillings are enumerated as falling lists of lengths, large ones first, or with `even` those near half the room first.
+    Only maximal ones count: nothing left fits into what they waste. The search is cut off after `looks` steps, at `most`
+    fillings without waste, or, below DEPTH pieces, by filling up from large to small; what stood then is compared.
+    """
+    found: dict[tuple[int, ...], int] = {}
+    left, whole = [looks, most], [True]
+
+    def have(x: int, taken: list[int]) -> int:
+        return count[x] - taken.count(x)
+
+    def full(room: int, taken: list[int]) -> bool:
+        i = 0
+        while i < len(sizes) and sizes[i] <= room:
+            if have(sizes[i], taken):
+                return False
+            i += 1
+        return True
+
+    def go(top: int, room: int, taken: list[int]) -> None:
+        left[0] -= 1
+        if full(room, taken):
+            if tuple(taken) not in found:
+                found[tuple(taken)] = room
+                left[1] -= room == 0
+            return
+        js = range(min(top, bisect_right(sizes, room)) - 1, -1, -1)
+        if even and not taken:
+            js = sorted(js, key=lambda j: abs(2 * sizes[j] - room))
+        last = False  # of two last pieces the smaller one is dominated
+        for j in js:
+            if left[0] <= 0 or left[1] <= 0:
+                whole[0] = False
+                return
+            if room - sizes[j] < sizes[0]:
+                if last:
+                    continue
+                last = have(sizes[j], taken) > 0 and not (even and not taken)
+            if have(sizes[j], taken):
+                if len(taken) < DEPTH:
+                    go(j + 1, room - sizes[j], [*taken, sizes[j]])
+                else:
+                    whole[0] = False
+                    rest = [*taken]
+                    while j >= 0:
+                        if sizes[j] <= room and have(sizes[j], rest):
+                            rest.append(sizes[j])
+                            room -= sizes[j]
+                        else:
+                            j -= 1
+                    found[tuple(rest)] = room
+                    return
+
+    go(len(sizes), room, [])
+    if len(found) > 8 * most and not whole[0]:
+        found = dict(sorted(found.items(), key=lambda f: f[1])[: 8 * most])
+    ordered = [list(f) for f in sorted(found, key=lambda f: (found[f], [-x for x in f]))]
+    kept: list[list[int]] = []
+    for f in ordered:
+        if not any(dominates(k, f) for k in kept):
+            kept.append(f)
+    return kept, whole[0], looks - left[0]
+
+
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    """The larger of total length over capacity and the same with pieces that can't share a bin counted as whole ones."""
+    x = np.sort(np.asarray(lengths, np.int64))
+    upto = np.append(0, np.cumsum(x))
+    half = np.searchsorted(x, capacity // 2, "right")
+    k = np.append(0, np.unique(x[:half]))
+    big = np.searchsorted(x, capacity - k, "right").clip(half)
+    rest = upto[big] - upto[np.searchsorted(x, k)]
+    return int((len(x) - big - (-rest // capacity)).max())
+
+
+def complete(lengths: list[int], capacity: int = CAPACITY, steps: int | None = None, looks: int = LOOKS) -> tuple[list[list[int]], bool]:
+    """(bins of lengths, whether no packing has fewer). Lengths are from 1 to capacity.
+
+    Branch and bound over the bin of the largest piece left, with best-fit decreasing as the first incumbent. It is
+    exact until a limit cuts it off: `steps` of the enumeration of fillings and of the search (by default STEPS and 100 for
+    each bin) in each of two runs, with fillings of large pieces first and with even ones first, and `looks` steps for
+    the fillings of one bin; where there are more than 200 bins, the first filling without waste ends its enumeration.
+    """
     best = best_fit(lengths, capacity)
-    total = sum(lengths)
-    bound = -(-total // capacity)
-    if len(best) <= bound:
-        return best
+    if len(best) <= lower_bound(lengths, capacity):
+        return best, True
+    full = [[x] for x in lengths if x == capacity]
+    lengths, best = [x for x in lengths if x < capacity], [b for b in best if b[0] < capacity]
+    total, bound, proved = sum(lengths), lower_bound(lengths, capacity), False
+    for even in (False, True):
+        best, proved = _search(lengths, capacity, best, total, bound, STEPS + 100 * len(best) if steps is None else steps, looks, even)
+        if proved:
+            break
+    return full + best, proved
+
+
+def _search(lengths, capacity: int, best: list[list[int]], total: int, bound: int, steps: int, looks: int, even: bool) -> tuple[list[list[int]], bool]:
     count: dict[int, int] = {}
     for x in lengths:
         count[x] = count.get(x, 0) + 1
-    sizes, left = sorted(count), nodes
+    sizes, whole, most = sorted(count), True, FILLINGS if len(best) <= 200 else 1
     # one frame an open bin: [its fillings, the next of them, largest piece, filling taken]
     stack: list[list] = []
     waste, placed = 0, 0
@@ -117,13 +177,18 @@ def complete(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -
                 sizes.insert(bisect_left(sizes, x), x)
 
     def open_bin() -> None:
+        nonlocal whole, steps
         top = sizes[-1]
         take([top], 1)
-        stack.append([fillings(sizes, count, capacity - top) if sizes else [[]], 0, top, None])
+        found, all_, used = fillings(sizes, count, capacity - top, looks, most, even) if sizes else ([[]], True, 1)
+        stack.append([found, 0, top, None])
         take([top], -1)
+        whole, steps = whole and all_, steps - used
 
     open_bin()
-    while stack and left > 0 and len(best) > bound:
+    while stack and len(best) > bound:
+        if steps <= 0:
+            return best, False
         frame = stack[-1]
         if frame[3] is not None:  # back from below: undo
             bin_ = [frame[2], *frame[3]]
@@ -131,15 +196,14 @@ def complete(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -
             waste -= capacity - sum(bin_)
             placed -= len(bin_)
             frame[3] = None
-        allowed = (len(best) - 1) * capacity - total
         if frame[1] >= len(frame[0]):
             stack.pop()
             continue
         filling = frame[0][frame[1]]
         frame[1] += 1
         bin_ = [frame[2], *filling]
-        left -= 1
-        if waste + capacity - sum(bin_) > allowed:  # fillings come by rising waste: the rest is pruned as well
+        steps -= 1
+        if waste + capacity - sum(bin_) > (len(best) - 1) * capacity - total:  # fillings come by rising waste: the rest is pruned as well
             frame[1] = len(frame[0])
             continue
         take(bin_, 1)
@@ -150,20 +214,20 @@ def complete(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -
             best = [[f[2], *f[3]] for f in stack]
         elif len(stack) < len(best) - 1:
             open_bin()
-    return best
+    return best, whole or len(best) <= bound
 
 
-def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, group: int = GROUP, by: list[str] | None = None) -> DataFrame:
+def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """pieces plus sequence_id long and offset long; columns of these names are replaced.
 
-    length must be an integer from 1 to capacity; null lengths are refused by an error in the task. `by` names the
-    columns that a piece is dealt by (all columns if not given). Equal rows are packed each on its own. Sequence ids
-    are unique, not consecutive; offsets in a sequence are gapless from 0. Empty pieces give an empty result.
+    length must be an integer from 1 to capacity; null lengths are refused by an error in the task. Pieces are dealt to
+    groups by their row, so that neither null nor repeated keys meet in one. Equal rows are packed each on its own.
+    Sequence ids are unique, not consecutive; offsets in a sequence are gapless from 0. Empty pieces give an empty result.
     """
     own = [c for c in pieces.columns if c not in ("sequence_id", "offset", "_g")]
     pieces = pieces.select(*own)
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64(*(by or own), F.lit(9)), F.lit(groups)))
+    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
     def place(key: tuple, rows: pa.Table) -> pa.Table:
@@ -173,7 +237,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, gr
         order = np.argsort(sizes, kind="stable")
         first = {int(x): int(i) for x, i in zip(*np.unique(sizes[order], return_index=True), strict=True)}
         seq, off = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        for b, bin_ in enumerate(complete(sizes.tolist(), capacity)):
+        for b, bin_ in enumerate(complete(sizes.tolist(), capacity)[0]):
             at = 0
             for x in bin_:
                 i = order[first[x]]
@@ -219,7 +283,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int =
 def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """token_pieces packed; the small table of pieces is written first, so that texts are encoded once."""
     pieces = materialise(token_pieces(df, path, capacity), "pieces")
-    return pack(pieces, capacity=capacity, by=["doc_id", "piece"])
+    return pack(pieces, capacity=capacity)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,14 +122,64 @@ def test_jaccard_join_few_words_a_batch(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows)
 
 
+def fewest(sizes, capacity):
+    """Fewest bins by going through all assignments, largest pieces first."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for room in sorted(set(bins)):
+            if room >= sizes[i]:
+                at = bins.index(room)
+                go(i + 1, [*bins[:at], room - sizes[i], *bins[at + 1 :]])
+        go(i + 1, [*bins, capacity - sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
 def test_packing_search():
     rng = random.Random(5)
     for n in (0, 1, 9, 300):
         sizes = [rng.randint(1, 100) for _ in range(n)]
-        bins = packing.complete(sizes, 100)
+        bins = packing.complete(sizes, 100)[0]
         assert sorted(x for b in bins for x in b) == sorted(sizes) and all(sum(b) <= 100 for b in bins)
         assert len(bins) <= len(packing.best_fit(sizes, 100))
-    assert len(packing.complete([60, 50, 40, 30, 20], 100)) == 2 and packing.complete([6, 6, 5, 5, 5, 3], 10)
+    assert len(packing.complete([60, 50, 40, 30, 20], 100)[0]) == 2 and packing.complete([6, 6, 5, 5, 5, 3], 10)
+    assert packing.dominates([50, 30], [50, 20, 10]) and packing.dominates([7], []) and not packing.dominates([50, 30], [40, 40]) and not packing.dominates([9, 9], [5, 5, 5])
+
+
+def test_packing_is_optimal_on_small_groups():
+    rng, better = random.Random(8), 0
+    for i in range(250):
+        sizes = [rng.choice([rng.randint(1, 40), rng.randint(20, 60)]) for _ in range(rng.randint(1, 11))] + [100] * (i % 2)
+        bins, proved = packing.complete(sizes, 100)
+        assert sorted(x for b in bins for x in b) == sorted(sizes) and all(sum(b) <= 100 for b in bins)
+        assert proved and len(bins) == fewest(sizes, 100), sizes
+        better += len(bins) < len(packing.best_fit(sizes, 100))
+    assert better
+
+
+def test_packing_perfect_fits():
+    rng, sizes = random.Random(2), []
+    while len(sizes) < 300:
+        a, b = rng.randint(520, 1000), rng.randint(520, 1000)
+        sizes += [a, b, 2048 - a - b] if 520 <= 2048 - a - b <= 1000 else []
+    assert packing.lower_bound(sizes, 2048) == 100 and packing.lower_bound([60, 60, 60, 30], 100) == 3 and packing.lower_bound([], 9) == 0
+    assert len(packing.complete(sizes, 2048)[0]) <= 102 < len(packing.best_fit(sizes, 2048))
+
+
+def test_packing_null_and_repeated_keys(spark):
+    rows = [(None, "same")] * 150 + [(7, "same")] * 150
+    pieces = spark.createDataFrame([(k, t, 9) for k, t in rows], "doc_id long, text string, length int")
+    got = packing.pack(pieces, capacity=20, group=20).collect()
+    groups = Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 300 and len(groups) > 8 and max(groups.values()) < 60
+    assert packing.pack(pieces.limit(0)).count() == 0
 
 
 def test_packing_documents(spark):
