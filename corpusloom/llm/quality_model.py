@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, free_names, materialise, table
 from .tokens import batches, compact
 
-ORDER, BITS, SHARD_ROWS, BROADCAST_IDS, CHUNK, PIECE, LOOKUP = 5, 8, 1_000_000, 1_000_000, 32 << 20, 2 << 20, 4 << 20
+ORDER, BITS, SHARD_ROWS, BROADCAST_IDS, CHUNK, PIECE, LOOKUP = 5, 8, 1_000_000, 1_000_000, 16 << 20, 1 << 19, 4 << 20
 QUANTILE, LEAST, HELD_OUT = 0.99, 50, 5
 START, SYMBOLS = 1, 1 << BITS
 
