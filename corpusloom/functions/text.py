@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Language codes that mean the same language.
-LANGUAGE_ALIASES = {"eng": "en", "chi": "zh", "zho": "zh", "fre": "fr", "fra": "fr", "ger": "de", "deu": "de", "spa": "es", "jpn": "ja"}
+#: Whole language codes that mean another one.
+LANGUAGE_ALIASES = {
+    "en-us": "en", "en-gb": "en", "eng": "en",
+    "zh-tw": "zh", "zh-hk": "zh", "zh-hans": "zh", "zh-hant": "zh", "cht": "zh", "chs": "zh",
+    "ja-jp": "ja", "jpn": "ja",
+}
 
 
 def collapsed(c: Column) -> Column:
@@ -32,8 +36,8 @@ def occurrences(c: Column, text: Column | str) -> Column:
 
 
 def language(c: Column) -> Column:
-    """Normalised code: lower case, the part before - or _, aliases mapped, blank and null as und."""
-    base = F.lower(F.trim(F.split_part(F.replace(F.coalesce(c, F.lit("")), F.lit("_"), F.lit("-")), F.lit("-"), F.lit(1))))
+    """Normalised code: trimmed, lower case, aliases mapped, blank and null as und; unknown codes stay whole."""
+    base = F.lower(F.trim(F.coalesce(c, F.lit(""))))
     out = F.when(base == "", "und")
     for k, v in LANGUAGE_ALIASES.items():
         out = out.when(base == k, v)

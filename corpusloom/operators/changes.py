@@ -19,12 +19,16 @@ def thinned(df: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     return decided(df, [key], at, 1, seconds * 1_000_000 - 1).where("allowed").select(key, at)
 
 
-def patch(current: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """key, before struct, after struct: rows that a batch changes; null in the batch leaves a value as it is."""
-    new = changes.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+def patch(current: DataFrame, changes: DataFrame, key: str, columns: list[str], given: str | None = None) -> DataFrame:
+    """key, before struct, after struct: rows that a batch changes; null in the batch leaves a value as it is.
+
+    `given` names a column array<string> of changes: then exactly the columns listed there are set, also to null.
+    """
+    new = changes.select(key, *[F.col(c).alias(f"_{c}") for c in columns], *([F.col(given).alias("_given")] if given else []))
     joined = current.join(new, key)
     before = F.struct(*columns)
-    after = F.struct(*[F.coalesce(f"_{c}", c).alias(c) for c in columns])
+    value = lambda c: F.when(F.array_contains("_given", c), F.col(f"_{c}")).otherwise(F.col(c)) if given else F.coalesce(f"_{c}", c)
+    after = F.struct(*[value(c).alias(c) for c in columns])
     return joined.select(key, before.alias("before"), after.alias("after")).where(~F.col("before").eqNullSafe(F.col("after")))
 
 
@@ -37,10 +41,11 @@ def undo(current: DataFrame, log: DataFrame, key: str, columns: list[str]) -> Da
 
 
 def restore(current: DataFrame, backup: DataFrame, key: str) -> DataFrame:
-    """Upsert by key: rows of the backup replace the current ones, column by column where the backup has a value."""
+    """Upsert by key: rows of the backup replace the current ones, nulls included; columns it lacks stay."""
     columns = [c for c in current.columns if c != key]
-    new = backup.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
-    return current.join(new, key, "full").select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in columns])
+    new = backup.select(key, F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in columns if c in backup.columns])
+    value = lambda c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) if c in backup.columns else F.col(c)
+    return current.join(new, key, "full").select(key, *[value(c).alias(c) for c in columns])
 
 
 def backup_plan(listing: DataFrame, manifest: DataFrame) -> DataFrame:

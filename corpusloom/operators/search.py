@@ -27,12 +27,14 @@ def query_terms(query: str, most: int = 6) -> list[str]:
 def trigrams(c: Column, n: int = 3) -> Column:
     """All n-grams of the lower-cased text, repeats included."""
     low = F.lower(c)
+    chars = F.split(low, "")  # once a row: substring() would count from the start for every gram
     count = F.length(low) - (n - 1)
-    return F.when(count < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), count)), lambda i: F.substring(low, i, F.lit(n))))
+    grams = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), count - 1)), lambda i: F.concat(*[x[i + k] for k in range(n)]))
+    return F.when(count < 1, F.array().cast("array<string>")).otherwise(F.element_at(F.transform(F.array(chars), grams), 1))
 
 
 def postings(df: DataFrame, column: str, key: str = "id", n: int = 3) -> DataFrame:
-    """gram, key, tf: the inverted index of one column; grams are counted in the row, before anything is shuffled."""
+    """gram, key, tf: the inverted index of one column; counts are summed in each task before anything is shuffled."""
     grams = F.explode(trigrams(F.coalesce(column, F.lit("")), n)).alias("gram")
     return df.select(key, grams).groupBy("gram", key).agg(F.count("*").alias("tf"))
 
@@ -71,7 +73,7 @@ def field_rank(term: str, columns: tuple[str, ...]) -> Column:
 
 def fuzzy_score(c: Column, query: str) -> Column:
     """Subsequence score: each query character in order: 1, or 2 right after the last one (or at the start), 4 from the
-    second such one on, less 0.01 a character of the text; null if the query is no subsequence."""
+    second such one on, less 0.01 a character of the text; null if the query is no subsequence. The empty query has 1."""
     low = F.lower(c)
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("streak"), F.lit(0.0).alias("score"), F.lit(True).alias("ok"))
 
@@ -82,5 +84,7 @@ def fuzzy_score(c: Column, query: str) -> Column:
         gain = F.when(streak >= 2, 4.0).when(streak == 1, 2.0).otherwise(1.0)
         return F.struct((s["at"] + i).alias("at"), streak.alias("streak"), (s["score"] + gain).alias("score"), (s["ok"] & (i > 0)).alias("ok"))
 
+    if not query:
+        return F.when(c.isNotNull(), F.lit(1.0))
     chars = F.array(*[F.lit(x) for x in query.lower()])
     return F.aggregate(chars, start, step, lambda s: F.when(s["ok"], s["score"] - 0.01 * F.length(low)))

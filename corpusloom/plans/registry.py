@@ -1,4 +1,4 @@
-"""All library queries: name -> (callable(spark, sf_dir), DuckDB SQL or None)."""
+"""All queries: name -> (callable(spark, sf_dir), DuckDB SQL or None)."""
 
 from __future__ import annotations
 
@@ -9,20 +9,12 @@ from ..functions import text as T
 from ..operators import audit, changes, graph, listing, review, search, vectors
 from ..sources.tables import SQL, documents, table
 from ..streaming import state
+from .base import REGISTRY, query  # noqa: F401
 
-REGISTRY: dict = {}
 TERMS = ["thtion", "ering", "with"]
 RULES = [("prices", ["worthless", "$$$"]), ("ads", ["buy", "!!"]), ("forms", [" | ", "###"]), ("people", ["idiot", "moron", "clown"]), ("plain", ["the", "der", "les"])]
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        REGISTRY[name] = (f, sql)
-        return f
-
-    return add
-
-
 # --- filters and lists
 
 
@@ -73,8 +65,8 @@ def o_ids_truncated(spark: SparkSession, sf: str) -> DataFrame:
 # --- aggregates
 
 
-@query("a_library_stats", SQL + " SELECT collection, count(*) AS n, count(*) FILTER (length(trim(content)) < 500) AS short, count(DISTINCT language) AS languages, max(n_chars) AS longest FROM d GROUP BY collection")
-def a_library_stats(spark: SparkSession, sf: str) -> DataFrame:
+@query("a_shelf_stats", SQL + " SELECT collection, count(*) AS n, count(*) FILTER (length(trim(content)) < 500) AS short, count(DISTINCT language) AS languages, max(n_chars) AS longest FROM d GROUP BY collection")
+def a_shelf_stats(spark: SparkSession, sf: str) -> DataFrame:
     short = F.length(F.trim("content")) < 500
     return documents(spark, sf).groupBy("collection").agg(F.count("*").alias("n"), F.count_if(short).alias("short"), F.countDistinct("language").alias("languages"), F.max("n_chars").alias("longest"))
 
@@ -359,15 +351,16 @@ _RATE = {"error": 1, "view": 2, "click": 3, "signup": 3, "purchase": 4}
 @query("r_sm2_fold", """WITH RECURSIVE e AS (SELECT user_id, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 4 ELSE 3 END AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS i, CAST(2.5 AS DOUBLE) AS ease, 0 AS reps, 0 AS lapses FROM e WHERE n = 1
  UNION ALL SELECT f.user_id, e.n,
-  CASE WHEN r = 1 THEN 0 WHEN r = 2 THEN greatest(1, floor(i * 1.2)) WHEN r = 3 THEN CASE WHEN reps = 0 THEN 1 WHEN reps = 1 THEN 3 ELSE greatest(1, floor(round(i * ease, 6))) END ELSE CASE WHEN reps = 0 THEN 4 ELSE greatest(1, floor(round(i * ease * 1.3, 6))) END END,
-  round(least(2.8, greatest(1.3, ease + CASE r WHEN 1 THEN -0.2 WHEN 2 THEN -0.15 WHEN 4 THEN 0.15 ELSE 0 END)), 4),
+  CASE WHEN r = 1 THEN 0.0::DOUBLE WHEN r = 3 AND reps = 0 THEN 1 WHEN r = 3 AND reps = 1 THEN 3 WHEN r = 4 AND reps = 0 THEN 4
+   ELSE least(2900000, greatest(1, trunc(CASE r WHEN 2 THEN i * 1.2::DOUBLE WHEN 3 THEN i * ease ELSE i * ease * 1.3::DOUBLE END))) END,
+  least(2.8::DOUBLE, greatest(1.3::DOUBLE, ease + CASE r WHEN 1 THEN -0.2::DOUBLE WHEN 2 THEN -0.15::DOUBLE WHEN 4 THEN 0.15::DOUBLE ELSE 0 END)),
   CASE WHEN r = 1 THEN 0 ELSE reps + 1 END, lapses + CASE WHEN r = 1 THEN 1 ELSE 0 END
  FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
-SELECT user_id, reps, lapses, round(ease, 2) AS ease FROM f WHERE n = (SELECT max(n) FROM e WHERE e.user_id = f.user_id)""")
+SELECT user_id, CAST(i AS INTEGER) AS interval, reps, lapses, round(ease, 6) AS ease FROM f WHERE n = (SELECT max(n) FROM e WHERE e.user_id = f.user_id)""")
 def r_sm2_fold(spark: SparkSession, sf: str) -> DataFrame:
     rating = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "view", 2).when(F.col("event_type") == "purchase", 4).otherwise(3)
     rated = table(spark, sf, "events").select("user_id", "ts", "event_id", rating.alias("rating"))
-    return review.fold_ratings(rated, "user_id", ["ts", "event_id"], "rating").select("user_id", "reps", "lapses", F.round("ease", 2).alias("ease"))
+    return review.fold_ratings(rated, "user_id", ["ts", "event_id"], "rating").select("user_id", "interval", "reps", "lapses", F.round("ease", 6).alias("ease"))
 
 
 @query("r_stats_tz", "SELECT CAST(ts + INTERVAL 480 MINUTE AS DATE) AS day, count(*) AS n FROM events GROUP BY day")
@@ -438,3 +431,6 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED P
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def z_session_minutes(spark: SparkSession, sf: str) -> DataFrame:
     return state.sessions(table(spark, sf, "events"), "user_id", "ts")
+
+
+from . import intake, shelf  # noqa: E402, F401

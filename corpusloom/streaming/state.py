@@ -1,6 +1,6 @@
 """Stateful operators as Structured Streaming queries, and their batch forms over a finished log.
 
-The windows over events (tumbling, session) are extensions of this library; the rest follows the stateful rules of a
+The windows over events (tumbling, session) are extensions of this package; the rest follows the stateful rules of a
 document service: limits of calls, arrival without repeats, minutes of sessions.
 """
 

@@ -1,4 +1,4 @@
-"""Every library query against its SQL on the small tables."""
+"""Every query against its SQL on the small tables."""
 
 import duckdb
 import pytest
