@@ -78,3 +78,67 @@ def markdown_by_document(df: DataFrame, title: str, order: str, text: str) -> Da
 def tsv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     """line: the columns as one TSV line, cells free of tabs and line ends; write with write.text."""
     return df.select(F.concat_ws("\t", *[T.tsv_cell(F.col(c).cast("string")) for c in columns]).alias("line"))
+
+
+def soft_delete(current: DataFrame, ids: DataFrame, at: int, key: str = "id") -> DataFrame:
+    """key, before, after (deletion minute): live rows among the ids; deleted and unknown ones leave no trace."""
+    return current.where(F.col("deleted_minute").isNull()).join(ids.select(key).distinct(), key, "left_semi").select(key, F.col("deleted_minute").alias("before"), F.lit(at).cast("long").alias("after"))
+
+
+def unknown_ids(ids: DataFrame, current: DataFrame, key: str = "id") -> DataFrame:
+    """The ids that no row has; a batch with any of them is refused."""
+    return ids.select(key).distinct().join(current.select(key), key, "left_anti")
+
+
+def log_record(log: DataFrame, kind: str, at: int, most: int = 500, key: str = "id") -> DataFrame:
+    """One row: kind, at, status, n, ids (distinct, ascending, refused above `most`) of a batch's log."""
+    ids = F.array_sort(F.collect_set(key))
+    row = log.select(key).distinct().limit(most + 1).agg(ids.alias("ids"))
+    checked = F.when(F.size("ids") > most, F.raise_error(F.lit(f"more than {most} ids"))).otherwise(F.size("ids"))
+    return row.select(F.lit(kind).alias("kind"), F.lit(at).alias("at"), F.lit("done").alias("status"), checked.alias("n"), "ids")
+
+
+def restored_version(current: DataFrame, versions: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
+    """key, title, content of the rows set back to a version (wanted: key, version)."""
+    return wanted.join(versions, [key, "version"]).join(current.select(key), key, "left_semi").select(key, "title", "content")
+
+
+def quarantine_plan(files: DataFrame, referenced: DataFrame, most: int = 500, most_bytes: int = 5 << 30) -> DataFrame:
+    """path, outcome: move, or why not: referenced again, too many, too large together. Smallest paths go first.
+
+    Bytes are summed over the first `most` files alone.
+    """
+    rows = files.join(referenced.select("path", F.lit(True).alias("_r")).distinct(), "path", "left")
+    free = rows.where("_r IS NULL").orderBy("path").limit(most).select("path", F.sum("size").over(Window.orderBy("path")).alias("_sum"))
+    rows = rows.join(free, "path", "left")
+    outcome = F.when(F.col("_r"), "referenced").when(F.col("_sum").isNull(), "too many").when(F.col("_sum") > most_bytes, "too large").otherwise("move")
+    return rows.select("path", outcome.alias("outcome"))
+
+
+def quarantine_restore(moved: DataFrame, disk: DataFrame) -> DataFrame:
+    """path, outcome of bringing moved files (path, stored) back: restored, occupied or gone."""
+    there = disk.select("path", F.lit(True).alias("_d")).distinct()
+    rows = moved.join(there.withColumnRenamed("_d", "_taken"), "path", "left").join(there.withColumnRenamed("path", "stored"), "stored", "left")
+    return rows.select("path", F.when(F.col("_d").isNull(), "gone").when(F.col("_taken").isNotNull(), "occupied").otherwise("restored").alias("outcome"))
+
+
+def set_tags(bridge: DataFrame, wanted: DataFrame, mode: str = "add") -> DataFrame:
+    """id, tags: sorted tags after `add`, `remove` or `set` of wanted (id, tags); ids without a request keep theirs."""
+    old = bridge.groupBy("id").agg(F.collect_set("tag").alias("_old"))
+    rows = old.join(wanted.select("id", F.col("tags").alias("_new")), "id", "full")
+    a, b = (F.coalesce(c, F.array().cast("array<string>")) for c in ("_old", "_new"))
+    new = {"add": F.array_union(a, b), "remove": F.array_except(a, b), "set": F.array_distinct(b)}[mode]
+    return rows.select("id", F.array_sort(F.when(F.col("_new").isNull(), a).otherwise(new)).alias("tags"))
+
+
+def remaining(current: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows left after a hard delete."""
+    return current.join(ids.select(key), key, "left_anti")
+
+
+def insert_checked(current: DataFrame, new: DataFrame, unique: str, key: str = "id") -> DataFrame:
+    """key, outcome of creating rows: created, or conflict where the unique column is taken, by a row or an earlier new one."""
+    taken = current.select(unique, F.lit(True).alias("_t")).distinct()
+    nth = F.row_number().over(Window.partitionBy(unique).orderBy(key))
+    rows = new.select(key, unique, nth.alias("_n")).join(taken, unique, "left")
+    return rows.select(key, F.when(F.col("_t").isNotNull() | (F.col("_n") > 1), "conflict").otherwise("created").alias("outcome"))

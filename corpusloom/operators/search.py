@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -88,3 +88,104 @@ def fuzzy_score(c: Column, query: str) -> Column:
         return F.when(c.isNotNull(), F.lit(1.0))
     chars = F.array(*[F.lit(x) for x in query.lower()])
     return F.aggregate(chars, start, step, lambda s: F.when(s["ok"], s["score"] - 0.01 * F.length(low)))
+
+
+def recall_windows(term: str, most: int = 6) -> list[str]:
+    """Windows of four, then of three characters of a term of five or more without spaces between its words."""
+    if len(term) < 5 or term.isascii():
+        return []
+    return list(dict.fromkeys(term[i : i + n] for n in (4, 3) for i in range(len(term) - n + 1)))[:most]
+
+
+def indexed(index: DataFrame, df: DataFrame, term: str, columns: tuple[str, ...], key: str = "id", n: int = 3) -> DataFrame:
+    """Rows of df that hold a term of n or more characters: ids with all its grams from the index, then the rows are looked at.
+
+    index: gram, key, over the same columns. Only its postings of the term's grams are read, and only the rows found.
+    """
+    low = term.lower()
+    grams = sorted({low[i : i + n] for i in range(len(low) - n + 1)})
+    ids = index.where(F.col("gram").isin(*grams)).select("gram", key).distinct().groupBy(key).agg(F.count("*").alias("_g")).where(F.col("_g") == len(grams)).select(key)
+    return df.join(ids, key, "left_semi").where(field_rank(term, columns) < len(columns))
+
+
+def gram_index(df: DataFrame, columns: tuple[str, ...], key: str = "id", n: int = 3) -> DataFrame:
+    """gram, key over several columns; distinct in each row before anything is shuffled, so write it once and reuse it."""
+    every = F.array_distinct(F.flatten(F.array(*[trigrams(F.coalesce(c, F.lit("")), n) for c in columns])))
+    return df.select(key, F.explode(every).alias("gram"))
+
+
+def maintained(index: DataFrame, changed: DataFrame, columns: tuple[str, ...], key: str = "id") -> DataFrame:
+    """The index after changes (key, columns, gone boolean): postings of changed rows go, those of rows still there come."""
+    return index.join(changed.select(key).distinct(), key, "left_anti").unionByName(gram_index(changed.where(~F.col("gone")), columns, key))
+
+
+def index_lag(index: DataFrame, df: DataFrame, columns: tuple[str, ...], key: str = "id", n: int = 3) -> DataFrame:
+    """key: rows with a gram that the index doesn't hold at all, and rows of the index that are gone; rebuild if there are any."""
+    size = sum((F.greatest(F.length(F.coalesce(c, F.lit(""))) - (n - 1), F.lit(0)) for c in columns), F.lit(0))
+    there, want = index.select(key).distinct(), df.where(size > 0).select(key)
+    return want.join(there, key, "left_anti").union(there.join(want, key, "left_anti"))
+
+
+def routed(df: DataFrame, terms: list[str], columns: tuple[str, ...], index: DataFrame | None = None, quota: int = 200, key: str = "id") -> DataFrame:
+    """key, hit_terms, score, in_title, window: rows that hold any of the terms, merged over the terms.
+
+    Terms of three or more characters go through the index (without one: a scan), shorter ones are searched as substrings
+    and only fill up what is left of `quota`, by key. score is the best column's place, in_title whether any term stands in
+    the first column, window that of the first term that hits.
+    """
+
+    def hits(rows: DataFrame, i: int, term: str) -> DataFrame:
+        rank = field_rank(term, columns)
+        text = F.coalesce(*[T.window(F.col(c), term) for c in reversed(columns)])
+        return rows.where(rank < len(columns)).select(key, F.lit(i).alias("term"), rank.alias("score"), (rank == 0).alias("in_title"), text.alias("window"))
+
+    def merged(parts: list[DataFrame]) -> DataFrame:
+        both = reduce(DataFrame.unionByName, parts)
+        return both.groupBy(key).agg(F.count("*").cast("int").alias("hit_terms"), F.min("score").alias("score"), F.max("in_title").alias("in_title"), F.min_by("window", "term").alias("window"))
+
+    long = [(i, t) for i, t in enumerate(terms) if len(t) >= 3]
+    short = [(i, t) for i, t in enumerate(terms) if len(t) < 3]
+    found = merged([hits(indexed(index, df, t, columns, key) if index is not None else df, i, t) for i, t in long]) if long else None
+    if not short:
+        return found
+    left = df if found is None else df.join(found.select(key), key, "left_anti")
+    fill = merged([hits(left, i, t) for i, t in short])
+    if found is None:
+        return fill.orderBy(key).limit(quota)
+    room = found.agg(F.greatest(F.lit(0), F.lit(quota) - F.count("*")).alias("_room"))
+    nth = F.row_number().over(Window.orderBy(key))  # over at most `quota` rows
+    fill = fill.orderBy(key).limit(quota).withColumn("_n", nth).crossJoin(room).where(F.col("_n") <= F.col("_room")).drop("_n", "_room")
+    return found.unionByName(fill)
+
+
+def ranked(found: DataFrame, df: DataFrame, limit: int = 20, offset: int = 0, key: str = "id") -> DataFrame:
+    """The page of found rows: most terms, best column, newest, key; titles are joined to that page alone."""
+    newest = found.join(df.select(key, "updated_minute"), key)
+    page = newest.orderBy(F.desc("hit_terms"), "score", F.desc("updated_minute"), key).offset(offset).limit(limit)
+    return page.join(df.select(key, "title"), key)
+
+
+def recalled(df: DataFrame, terms: list[str], columns: tuple[str, ...], index: DataFrame | None = None) -> DataFrame:
+    """routed(); where it finds nothing, the windows of the terms instead (one look whether there is a row)."""
+    found = routed(df, terms, columns, index)
+    windows = [w for t in terms for w in recall_windows(t)][:6]
+    return routed(df, windows, columns, index) if windows and found.isEmpty() else found
+
+
+def clipped(marked: Column, most: int = 220) -> Column:
+    """A snippet cut at `most` characters, an open mark closed, an ellipsis at the end."""
+    head = F.substring(marked, 1, most)
+    open_ = T.occurrences(head, "<mark>") > T.occurrences(head, "</mark>")
+    return F.when(F.length(marked) <= most, marked).otherwise(F.concat(head, F.when(open_, "</mark>").otherwise(""), F.lit("…")))
+
+
+def by_group(found: DataFrame, df: DataFrame, group: str = "type", key: str = "id") -> DataFrame:
+    """group, n of the rows found."""
+    return found.select(key).join(df.select(key, group), key).groupBy(group).agg(F.count("*").alias("n"))
+
+
+def in_annotations(annotations: DataFrame, df: DataFrame, text: str, limit: int = 50) -> DataFrame:
+    """id, document_id, title: annotations of live documents whose quote or note holds the text, newest first."""
+    hit = T.contains(F.col("quote"), text) | T.contains(F.col("note"), text)
+    rows = annotations.where(hit).join(df.where(~F.col("deleted")).select(F.col("id").alias("document_id"), "title"), "document_id")
+    return rows.orderBy(F.desc("created_minute"), F.desc("id")).limit(limit).select("id", "document_id", "title")

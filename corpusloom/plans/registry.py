@@ -242,7 +242,9 @@ def v_topk_dot(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.exact_top(e, e.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", "rank")
 
 
-@query("v_precision_at_5")
+@query("v_precision_at_5", """WITH q AS (SELECT vec_id AS query_id, embedding AS v, label AS own FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, label = own AS same, list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * v[i])) AS score FROM embeddings, q WHERE vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) SELECT query_id, count(*) FILTER (same) AS hits, count(*) FILTER (same) / 5.0::DOUBLE AS precision FROM r WHERE n <= 5 GROUP BY query_id""")
 def v_precision_at_5(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     ranked = vectors.exact_top(e, e.where("vec_id % 50 = 0"), 5).withColumnRenamed("vec_id", "item")
@@ -294,7 +296,10 @@ def q_classify_rules(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("id", audit.classify_by_rules(F.col("content"), RULES).alias("category"))
 
 
-@query("q_classify_scored")
+_SCORES = ", ".join("{'n': " + " + ".join(f"(length(lower(content)) - length(replace(lower(content), '{w}', ''))) // {len(w)} * {2 * len(w) if len(w) > 2 else 1}" for w in words if len(w) > 1) + f", 'i': {i}, 'c': '{name}'}}" for i, (name, words) in enumerate(RULES))
+
+
+@query("q_classify_scored", SQL + f", r AS (SELECT id, list_sort(list_transform([{_SCORES}], lambda e: {{'m': -e.n, 'i': e.i, 'c': e.c}})) AS r FROM d) SELECT id, CASE WHEN -r[1].m >= 4 AND -r[1].m >= 1.5 * -r[2].m THEN r[1].c END AS category FROM r")
 def q_classify_scored(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("id", audit.classify_by_score(F.col("content"), RULES).alias("category"))
 
@@ -302,7 +307,7 @@ def q_classify_scored(spark: SparkSession, sf: str) -> DataFrame:
 # --- text and graph
 
 
-@query("t_keywords")
+@query("t_keywords", SQL + ", w AS (SELECT id, unnest(regexp_extract_all(lower(content), '[a-z]{2,}')) AS word FROM d), c AS (SELECT id, word, count(*) AS n FROM w WHERE word NOT IN (" + ", ".join(f"'{x}'" for x in sorted(search.STOPWORDS)) + ") GROUP BY id, word), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, word) AS nth FROM c) SELECT id, word, n, nth FROM r WHERE nth <= 5")
 def t_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return graph.keywords(documents(spark, sf))
 

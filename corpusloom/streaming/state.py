@@ -39,6 +39,34 @@ def decided(df: DataFrame, keys: list[str], at: str, most: int, span: int) -> Da
     return out.select(*keys, F.timestamp_micros("_t").alias(at), F.col("_ok").alias("allowed"))
 
 
+def locked_out(df: DataFrame, key: str, at: str, ok: str, most: int = 20, seconds: int = 300) -> DataFrame:
+    """key, at, locked: whether a try comes while `most` failures lie within `seconds` before it.
+
+    A success clears them, and neither it nor a failure counts while the key is locked. Rows are streamed by key and
+    time (failures before successes at one time); what is held of a key is its last failures.
+    """
+    rows = df.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), F.coalesce(F.col(ok), F.lit(False)).alias("_s")).where("_t IS NOT NULL")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", locked boolean"
+    span = seconds * 1_000_000
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, failed = None, deque()
+        for b in source:
+            out = []
+            for k, t, good in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != now:
+                    now, failed = k, deque()
+                while failed and t - failed[0] > span:
+                    failed.popleft()
+                out.append(len(failed) >= most)
+                if not out[-1]:
+                    failed.clear() if good else failed.append(t)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*b.schema.names, "locked"])
+
+    out = rows.repartition(key).sortWithinPartitions(key, "_t", "_s").mapInArrow(run, schema)
+    return out.select(key, F.timestamp_micros("_t").alias(at), "locked")
+
+
 def limited(df: DataFrame, keys: list[str], at: str, most: int, seconds: int) -> DataFrame:
     """keys, at, allowed: a call is allowed while fewer than `most` allowed ones lie within `seconds`; refused calls
     don't count (batch form)."""

@@ -6,21 +6,45 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import audit, changes, graph, listing, review, search, vectors
+from corpusloom.operators import audit, catalog, changes, graph, listing, review, search, vectors
 from corpusloom.sources.tables import files
 from corpusloom.streaming import state
 
 
-@pytest.mark.parametrize("rating,want", [(1, (0, 2.3, 0, 2)), (2, (12, 2.35, 4, 1)), (3, (25, 2.5, 4, 1)), (4, (32, 2.65, 4, 1))])
+CARD = {"interval": 7, "ease": 1.9, "reps": 5, "lapses": 0}
+
+
+@pytest.mark.parametrize("rating,want", [(1, (0, 1.7, 0, 1)), (2, (8, 1.75, 6, 0)), (3, (13, 1.9, 6, 0)), (4, (17, 2.05, 6, 0))])
 def test_schedule_step(spark, rating, want):
-    s = F.struct(F.lit(10).alias("interval"), F.lit(2.5).alias("ease"), F.lit(3).alias("reps"), F.lit(1).alias("lapses"))
-    assert tuple(spark.range(1).select(review.step(s, F.lit(rating)).alias("s")).first()["s"]) == want
+    s = F.struct(*[F.lit(v).alias(k) for k, v in CARD.items()])
+    got = spark.range(1).select(review.step(s, F.lit(rating)).alias("s")).first()["s"]
+    assert (got.interval, round(got.ease, 6), got.reps, got.lapses) == want
+    assert review.rated(*CARD.values(), rating)[0] == want[0]
+
+
+def test_schedule_bounds_and_due(spark):
+    s = F.struct(F.lit(2_000_000).alias("interval"), F.lit(2.8).alias("ease"), F.lit(9).alias("reps"), F.lit(0).alias("lapses"))
+    row = spark.range(1).select(*[review.step(s, F.lit(r))["interval"].alias(f"r{r}") for r in (1, 2, 3, 4)]).first()
+    assert tuple(row) == (0, 2_400_000, review.MOST_DAYS, review.MOST_DAYS)
+    s = F.struct(F.lit(390).alias("interval"), F.lit(2.3).alias("ease"), F.lit(9).alias("reps"), F.lit(0).alias("lapses"))
+    assert spark.range(1).select(review.step(s, F.lit(3))["interval"]).first()[0] == 896
+    cards = spark.createDataFrame([("a", 10, 2.0, 3, 0), ("b", 10, 2.0, 3, 0)], "card string, interval int, ease double, reps int, lapses int")
+    at = dt.datetime(2024, 5, 1, 12)
+    got = {r.card: r for r in review.rate(cards, spark.createDataFrame([("a", 3, at), ("b", 1, at)], "card string, rating int, at timestamp"), "card", "at").collect()}
+    assert got["a"].due_at == dt.datetime(2024, 5, 21, 12) and got["b"].due_at == dt.datetime(2024, 5, 1, 12, 10)
+    with pytest.raises(ValueError):
+        review.snooze(F.col("x"), F.col("y"), 2)
 
 
 def test_schedule_fold(spark):
-    df = spark.createDataFrame([("c", i, r) for i, r in enumerate([3, 3, 3, 2, 4, 1, 3])], "k string, i int, rating int")
-    r = review.fold_ratings(df, "k", ["i"], "rating").first()
-    assert (r.interval, round(r.ease, 4), r.reps, r.lapses) == (1, 2.3, 1, 1)
+    rows = [(k, i, 1 + (i * i + len(k)) % 4) for k in ("a", "bb", "ccc") for i in range(40)] + [(None, 0, 4)]
+    df = spark.createDataFrame(rows, "k string, i int, rating int")
+    want = {}
+    for k, _, r in sorted(rows, key=lambda x: (x[0] or "", x[1])):
+        want[k] = review.rated(*want.get(k, (0, 2.5, 0, 0)), r)
+    got = {r.k: (r.interval, r.ease, r.reps, r.lapses) for r in review.fold_ratings(df, "k", ["i"], "rating").collect()}
+    assert got == want and want[None] == (4, 2.65, 1, 0)
+    assert review.fold_ratings(df.limit(0), "k", ["i"], "rating").count() == 0
 
 
 def test_exact_top_in_blocks(spark):
@@ -33,33 +57,70 @@ def test_exact_top_in_blocks(spark):
 
 
 def test_fuzzy(spark):
-    def plain(q, t):
-        score, at, streak = 0, 0, 0
-        for c in q:
-            i = t.find(c, at)
-            if i < 0:
-                return None
-            streak = streak + 1 if i == at else 0
-            score += (4 if streak >= 2 else 2) if i == at else 1
-            at = i + 1
-        return score - len(t) * 0.01
-
-    words = ["abc", "axbxc", "cab", "", "aabbcc", "xabc"]
-    df = spark.createDataFrame([(w,) for w in words], "w string")
-    got = {r.w: r.s for r in df.select("w", search.fuzzy_score(F.col("w"), "abc").alias("s")).collect()}
-    for w in words:
-        want = plain("abc", w)
-        assert (got[w] is None) == (want is None) and (want is None or abs(got[w] - want) < 1e-9)
+    # abc at the start: 2 + 4 + 4; with gaps: 2 + 1 + 1; later start: 1 + 2 + 4; each less a hundredth of the length
+    want = {"abc": 9.97, "axbxc": 3.95, "xabc": 6.96, "cab": None, "": None}
+    df = spark.createDataFrame([(w,) for w in want], "w string")
+    got = {r.w: r.s for r in df.select("w", search.fuzzy_score(F.col("w"), "aBc").alias("s")).collect()}
+    assert {k: v and round(v, 6) for k, v in got.items()} == want
+    assert {r.s for r in df.select(search.fuzzy_score(F.col("w"), "").alias("s")).collect()} == {1.0}
 
 
 def test_terms():
-    assert search.query_terms("What is the hard problem of consciousness?") == ["hard", "problem", "consciousness"]
-    assert search.query_terms("Rust rust RUST ownership") == ["Rust", "ownership"]
-    assert search.query_terms("...") == []
+    assert search.query_terms("Where do rivers and lakes meet?") == ["rivers", "lakes", "meet"]
+    assert search.query_terms("salt Salt SALT water") == ["salt", "water"]
+    assert search.query_terms("?! -") == []
+    assert search.recall_windows("abcdef") == [] and search.recall_windows("春夏秋冬雨") == ["春夏秋冬", "夏秋冬雨", "春夏秋", "夏秋冬", "秋冬雨"]
+
+
+def test_recall_and_index(spark):
+    df = spark.createDataFrame([(1, "t", "the 春夏秋冬 of it"), (2, "春夏", None), (3, "other", "text")], "id long, title string, content string")
+    index = search.gram_index(df, ("title", "content"))
+    assert [r.id for r in search.recalled(df, ["春夏秋冬雨"], ("title", "content"), index).collect()] == [1]
+    assert [r.id for r in search.recalled(df, ["xyz"], ("title", "content"), index).collect()] == []
+    assert search.index_lag(index, df, ("title", "content")).count() == 0
+
+
+def test_lockout(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, t0 + dt.timedelta(seconds=(i * i * 13) % 400), (i + len(k)) % 7 == 0) for k, n in (("a", 120), ("bb", 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "client string, ts timestamp_ntz, good boolean")
+    want = []
+    for k in ("a", "bb"):
+        failed = []
+        for t, good in sorted((t, g) for c, t, g in rows if c == k):
+            failed = [x for x in failed if (t - x).total_seconds() <= 60]
+            want.append((k, t, len(failed) >= 4))
+            if len(failed) < 4:
+                failed = [] if good else [*failed, t]
+    got = [(r.client, r.ts.replace(tzinfo=None), r.locked) for r in state.locked_out(df, "client", "ts", "good", 4, 60).collect()]
+    assert sorted(got) == sorted(want) and {x[2] for x in want} == {True, False}
+
+
+def test_batch_can_set_null(spark):
+    now = spark.createDataFrame([(1, "x", "p"), (2, "y", "q")], "id long, v string, w string")
+    new = spark.createDataFrame([(1, None, None, ["v"]), (2, "z", None, [])], "id long, v string, w string, given array<string>")
+    assert [(r.id, tuple(r.after)) for r in changes.patch(now, new, "id", ["v", "w"], "given").collect()] == [(1, (None, "p"))]
+    back = spark.createDataFrame([(1, None), (3, "n")], "id long, v string")
+    assert sorted(map(tuple, changes.restore(now, back, "id").collect()), key=str) == [(1, None, "p"), (2, "y", "q"), (3, "n", None)]
+
+
+def test_minutes_round_half_even(spark):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t, t + dt.timedelta(seconds=15)), (t, t - dt.timedelta(seconds=9))], "a timestamp_ntz, b timestamp_ntz")
+    assert review.minutes_by_day(df, "a", "b").first().minutes == 0.2
+
+
+def test_refusals(spark):
+    with pytest.raises(ValueError):
+        catalog.sort(spark.range(1), "by_colour")
+    with pytest.raises(ValueError):
+        catalog.snapshot_arm(spark.range(1), spark.range(1), "other")
+    with pytest.raises(Exception, match="more than 3 ids"):
+        changes.log_record(spark.range(5), "x", 1, 3).collect()
 
 
 def test_languages(spark):
-    codes = {"en-US": "en", "eng": "en", "EN-US": "en", "zh-TW": "zh", "zh_Hans": "zh", "": "und", None: "und", "fr": "fr"}
+    codes = {"en-US": "en", "eng": "en", "EN-US": "en", "zh-TW": "zh", "CHS ": "zh", "pt-BR": "pt-br", "": "und", None: "und", "fr": "fr"}
     df = spark.createDataFrame([(c,) for c in codes], "c string")
     assert {r.c: r.n for r in df.select("c", T.language(F.col("c")).alias("n")).collect()} == codes
 
