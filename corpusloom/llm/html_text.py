@@ -42,8 +42,10 @@ OTHER_NAMES = set(
 REMARK_NAMES = set("comment comments commentlist disqus reply replies respond discussion".split())
 OTHER_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ARTICLE_NAMES = set("article content post entry story".split())
-#: Class names that begin or end so tell what a page has or how it is laid out, not what the element is.
-STATE_FIRST = set("has no not without with is hide show".split())
+#: In a class name of several words the last one names the element, and some of the others when they come first.
+FIRST_NAMES = set("ad ads advert advertisement sponsored promo cookie cookies newsletter related share sharing comment comments nav footer sidebar breadcrumb menu".split())
+#: Class names with one of the former words, or that end in one of the latter, tell what a page has or how it is laid out.
+STATE = set("has no not without with is hide show".split())
 STATE_LAST = set("page layout template enabled disabled open closed on off".split())
 
 TOKEN = re.compile(
@@ -72,8 +74,10 @@ def place_of(tag: str, rest: str) -> int:
         else:
             for name in value.split():
                 parts = [x for x in re.split(r"[^a-z]+", name) if x]
-                if len(parts) < 2 or parts[0] not in STATE_FIRST and parts[-1] not in STATE_LAST:
+                if len(parts) < 2:
                     names.update(parts)
+                elif not STATE & set(parts) and parts[-1] not in STATE_LAST:
+                    names.update(parts[-1:] + [x for x in parts[:1] if x in FIRST_NAMES])
     if tag in NOT_ARTICLE or names & REMARK_NAMES:
         return -2
     if names & OTHER_NAMES or any(x[1:] in OTHER_ROLES for x in names if x[0] == "@"):

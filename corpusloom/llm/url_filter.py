@@ -75,13 +75,15 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     support = min(1.0, max(min_support, min_rows / total))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", BLOCK)).where(F.size("antecedent") <= MAX_TOKENS)
-    best = rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
-    best = best.orderBy(F.desc("confidence"), F.size("tokens"), F.desc("support"), "tokens").limit(max_rules)
-    kept: list[dict] = []
-    for r in sorted(best.collect(), key=lambda r: (len(r.tokens), -r.confidence, r.tokens)):
-        if not any(set(k["tokens"]) < set(r.tokens) and k["confidence"] >= r.confidence for k in kept):
-            kept.append({"tokens": list(r.tokens), "confidence": r.confidence, "support": r.support, "n": len(r.tokens)})
-    return kept
+    rules = rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
+    single = F.transform("tokens", lambda t: F.array(t))
+    without = F.transform("tokens", lambda t: F.array_remove("tokens", t))  # with MAX_TOKENS = 3 these are all proper parts
+    parts = rules.where(F.size("tokens") > 1).select("tokens", "confidence", F.explode(F.array_distinct(F.concat(single, without))).alias("part"))
+    known = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"))
+    needless = parts.join(known, "part").where("c >= confidence").select("tokens").distinct()
+    best = rules.join(needless, "tokens", "left_anti").orderBy(F.desc("confidence"), F.size("tokens"), F.desc("support"), "tokens").limit(max_rules)
+    kept = [{"tokens": list(r.tokens), "confidence": r.confidence, "support": r.support, "n": len(r.tokens)} for r in best.collect()]
+    return sorted(kept, key=lambda r: (r["n"], -r["confidence"], r["tokens"]))
 
 
 def fires(tokens: Column, rules: list[dict]) -> Column:

@@ -250,6 +250,21 @@ def test_html_keeps_whole_articles(spark):
             page = f"<nav><a>Home</a> <a>News</a></nav><{tag} class='{name}'><div><p>{a}</p><p>{b}</p></div></{tag}>"
             assert html_text.main_text(page, tree) == f"{a} {b}", page
     assert html_text.main_text(f"<article><p>{a}</p></article><div class='comment-list'><p>{b}</p></div>", tree) == a
+    for opened, tag in (("div id='content-with-sidebar'", "div"), ("div class='post no-sidebar'", "div"), ("article class='social-issues'", "article"), ("section class='legal-analysis'", "section")):
+        page = f"<nav><a>Home</a> <a>News</a></nav><{opened}><p>{a}</p><p>{b}</p></{tag}><footer>&copy; all of it</footer>"
+        assert html_text.main_text(page, tree) == f"{a} {b}", opened
+    for name in ("related-posts", "site-footer", "cookie-banner", "ad-slot", "newsletter-signup"):
+        assert html_text.main_text(f"<article><p>{a}</p></article><div class='{name}'><p>{b}</p></div>", tree) == a, name
+
+
+def test_html_odd_pages(spark):
+    a = html_text._A
+    long_page = f"<article>{'<p>' + a + '</p>'} {'<p>word and more</p>' * 20_000}</article>"
+    rows = [(1, long_page), (1, long_page), (None, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("n_chars", F.lit("clash"))
+    got = html_text.extract(df).collect()
+    assert len(got) == 3 and [r.text for r in got if r.page_id] == [" ".join([a] + ["word and more"] * 20_000)] * 2
+    assert html_text.extract(df.limit(0)).count() == 0
 
 
 def test_html_whole_pages(spark):
@@ -387,6 +402,33 @@ def test_url_rules(spark):
     assert url_filter.mine_rules(df.select("url", F.lit(None).cast("boolean").alias("blocked"))) == []
 
 
+def test_url_rules_brute_force(spark):
+    from itertools import combinations
+
+    rng = random.Random(6)
+    urls = [(f"http://{rng.choice('ab')}.{rng.choice(['x', 'y'])}.io/{rng.choice('pqr')}/{rng.choice('st')}?{rng.choice('uv')}=1", rng.random() < 0.4) for _ in range(300)]
+    urls = [(u, b or "a.x.io/p" in u) for u, b in urls]
+    df = spark.createDataFrame(urls, "url string, blocked boolean")
+    sets = [(frozenset(r.t), b) for r, (_, b) in zip(df.select(url_filter.tokens_of(F.col("url")).alias("t")).collect(), urls, strict=True)]
+    seen, bad = Counter(), Counter()
+    for t, b in sets:
+        for n in (1, 2, 3):
+            for c in combinations(sorted(t), n):
+                seen[c] += 1
+                bad[c] += b
+    rules = {c: bad[c] / seen[c] for c in seen if bad[c] >= 10 and bad[c] / seen[c] >= 0.7}
+    want = {c for c, p in rules.items() if not any(rules.get(d, 0) >= p for n in range(1, len(c)) for d in combinations(c, n))}
+    got = url_filter.mine_rules(df, 0.001, 0.7, min_rows=10)
+    assert {tuple(r["tokens"]) for r in got} == want and want
+    pages = spark.createDataFrame([(i, u, 1) for i, (u, _) in enumerate(urls)] + [(7, urls[7][0], 2), (None, None, 3)], "page_id long, url string, host int")
+    verdicts = url_filter.judge_urls(pages, got, [("block", "nowhere/")]).collect()
+    assert len(verdicts) == 302
+    for r in verdicts:
+        if r.page_id is not None:
+            assert r.verdict == ("block" if any(set(c) <= sets[r.page_id][0] for c in want) else "allow")
+    assert url_filter.judge_urls(pages.limit(0), got).count() == 0
+
+
 def test_shards(spark):
     table = sharding.lookup_table(spark, ["a", "b", "c"], 31)
     sizes = Counter(r.shard_name for r in table.collect())
