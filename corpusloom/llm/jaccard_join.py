@@ -38,12 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpointed, table
+from .common import Scratch, checkpointed, lean, small_batches, table
 from .tokens import batches, compact
 
 WORDS, SHARE = 5, Fraction(3, 4)
 RANGES, MOST_BINS, LIST_PART, BROADCAST_IDS, TURNS, SMALL, BLOCK = 64, 1 << 27, 50_000, 1_000_000, 1, 32, 512
-BATCH = 4 << 20
+BATCH = 2 << 20
 #: Sets named by the second half of their digest; about n * n / 2 ** 64 of n, far below this bound.
 MOST_CLASHES = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -145,7 +145,7 @@ def describe(df: DataFrame, key: str, text: str, bins: int, words: int = WORDS)
                 blobs = [pa.array([zlib.compress(part.reshape(RANGES, -1)[r].tobytes(), 1)], pa.binary()) for part in (sketch.once, sketch.twice)]
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 3, pa.array([r], pa.int32()), *blobs], names=names)
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {of.simpleString()}, n long, node long, other long, range int, once binary, twice binary")
+    return df.select(key, text).mapInArrow(lean(run), f"`{key}` {of.simpleString()}, n long, node long, other long, range int, once binary, twice binary")
 
 
 def list_classes(described: DataFrame, bins: int) -> np.ndarray:
@@ -173,7 +173,7 @@ def list_classes(described: DataFrame, bins: int) -> np.ndarray:
 
     parts = described.where("range IS NOT NULL").select("range", "once", "twice").repartition(RANGES, "range").sortWithinPartitions("range")
     out = np.zeros((RANGES, width // 4), np.uint8)
-    for r in parts.mapInArrow(run, "range int, classes binary").collect():
+    for r in parts.mapInArrow(lean(run), "range int, classes binary").collect():
         out[r["range"]] = np.frombuffer(r["classes"], np.uint8)
     return out.ravel()
 
@@ -202,7 +202,7 @@ def postings(df: DataFrame, text: str, classes, bins: int, clashes: frozenset, s
             kinds = (np.int64, np.int64, np.int32, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.zeros(0, k)]).astype(k)) for c, k in zip(cols, kinds, strict=True)], names=["h", "node", "n", "at"])
 
-    return df.select(text).mapInArrow(run, "h long, node long, n int, at int")
+    return df.select(text).mapInArrow(lean(run), "h long, node long, n int, at int")
 
 
 def linked(a: np.ndarray, b: np.ndarray, need: int, step: int = 64) -> bool:
@@ -232,7 +232,7 @@ def verified(pairs: DataFrame, sets: DataFrame, share: Fraction = SHARE) -> Data
                 keep.append(linked(x, y, math.ceil(share * (len(x) + len(y)) / (1 + share))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame, each: int = 200_000) -> DataFrame:
@@ -341,7 +341,7 @@ def searched(open_lists: DataFrame, sets: DataFrame, share: Fraction = SHARE, bl
             cut = [np.frombuffer(x.as_py(), np.uint64).astype(np.uint32).tobytes() for x in b.column("own")]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(cut, pa.binary())], names=["node", "brief"])
 
-    asked = sets.join(open_lists.select("node").distinct(), "node", "left_semi").select("node", "own").mapInArrow(brief, "node long, brief binary")
+    asked = sets.join(open_lists.select("node").distinct(), "node", "left_semi").select("node", "own").mapInArrow(lean(brief), "node long, brief binary")
     return rows.join(asked, "node").groupBy("h", "q", "p").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -354,6 +354,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", share: F
     """
     df = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     spark, bins = df.sparkSession, bins_for(df, "_t")
+    small_batches(spark)
     disk = Scratch(spark, "near-copies")
     described = disk.keep(describe(df, "_k", "_t", bins, words), "described")
     docs = described.where("range IS NULL").select("_k", "n", "node", "other")
@@ -388,7 +389,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", share: F
             own = shingles(b.column(0), words)
             yield pa.RecordBatch.from_arrays([pa.array([node_of(x, clashes) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "own"])
 
-    made = chosen.select("_t").mapInArrow(own_sets, "node long, own binary").where("node IS NOT NULL")
+    made = chosen.select("_t").mapInArrow(lean(own_sets), "node long, own binary").where("node IS NOT NULL")
     sets = disk.keep(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
     links = disk.keep(verified(first, sets, share), "links")
     comp = checkpointed(components(links))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import lean, materialise, small_batches, table
 from .tokens import batches, piece_table
 
 CAPACITY, GROUP, STEPS, LOOKS, FILLINGS, DEPTH = 2048, 20_000, 200_000, 1_000, 8, 12
@@ -276,8 +276,10 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int =
                 [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (piece, start, length, crc))],
                 names=[key, "piece", "start", "length", "ids_crc32"],
             )
+        encoder.known.clear()  # Python workers live on, and other stages need the memory
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {of}, piece long, start long, length long, ids_crc32 long")
+    small_batches(df.sparkSession)
+    return df.select(key, text).mapInArrow(lean(run), f"`{key}` {of}, piece long, start long, length long, ids_crc32 long")
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

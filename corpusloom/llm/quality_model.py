@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_names, materialise, table
+from .common import Scratch, free_names, lean, materialise, small_batches, table
 from .tokens import batches, compact
 
 ORDER, BITS, SHARD_ROWS, BROADCAST_IDS, CHUNK, PIECE, LOOKUP = 5, 8, 1_000_000, 1_000_000, 16 << 20, 1 << 19, 4 << 20
@@ -69,7 +69,7 @@ def count_grams(df: DataFrame, text: str = "text", order: int = ORDER) -> DataFr
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches(source, 2 << 20):
+        for b in batches(source, 1 << 20):
             new, n = np.unique(grams(b.column(0), order)[0], return_counts=True)
             codes, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
             counts = np.bincount(back, np.concatenate([counts, n]), len(codes)).astype(np.int64)
@@ -78,7 +78,7 @@ def count_grams(df: DataFrame, text: str = "text", order: int = ORDER) -> DataFr
                 codes, counts = codes[:0], counts[:0]
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
 
-    return df.select(text).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return df.select(text).mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -220,7 +220,7 @@ def chunk_codes(df: DataFrame, text: str, model: Model, chunk: int = CHUNK) -> D
             yield from done(now, np.unique(np.concatenate(held)))
 
     model_shards, order = Model(None, None, model.order, model.shards).shard_of, model.order
-    return df.select(text).mapInArrow(run, "_chunk long, shard int, n long, codes binary")
+    return df.select(text).mapInArrow(lean(run), "_chunk long, shard int, n long, codes binary")
 
 
 def chunk_values(codes: DataFrame, model: Model, lookup: int = LOOKUP) -> DataFrame:
@@ -237,6 +237,7 @@ def chunk_values(codes: DataFrame, model: Model, lookup: int = LOOKUP) -> DataFr
         got = values_of(whole, rows, order).astype(np.float32)[back]
         ends = np.append(0, np.cumsum(n)).astype(np.int64)
         blobs = pa.array([packed(got[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+        pa.default_memory_pool().release_unused()
         return asked.select(["_chunk", "n", "codes"]).append_column("values", blobs)
 
     both = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part"))
@@ -251,6 +252,7 @@ def perplexities(df: DataFrame, model: Model, text: str = "text", chunk: int = C
     """
     df = df.drop(*names)
     place, order, schema = df.columns.index(text), model.order, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    small_batches(df.sparkSession)
     disk = Scratch(df.sparkSession, "perplexities")
     codes = disk.keep(chunk_codes(df, text, model, chunk), "codes")
     values = disk.keep(chunk_values(codes, model), "values")
@@ -278,11 +280,12 @@ def perplexities(df: DataFrame, model: Model, text: str = "text", chunk: int = C
                 sums, ends = np.append(0.0, np.cumsum(value[at])), np.append(0, np.cumsum(sizes))
                 cols = [*b.columns, pa.array(sums[ends[1:]] - sums[ends[:-1]]), pa.array(sizes)]
                 out.append(pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *names]))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out) if out else empty
 
     kinds = df.limit(0).toArrow().schema
     empty = pa.schema([*kinds, pa.field(names[0], pa.float64()), pa.field(names[1], pa.int64())]).empty_table()
-    both = df.mapInArrow(pack, "_chunk long, rows binary").groupBy("_chunk").cogroup(values.groupBy("_chunk"))
+    both = df.mapInArrow(lean(pack), "_chunk long, rows binary").groupBy("_chunk").cogroup(values.groupBy("_chunk"))
     return both.applyInArrow(run, f"{schema}, `{names[0]}` double, `{names[1]}` long")
 
 

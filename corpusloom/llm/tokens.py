@@ -22,7 +22,7 @@ import regex
 #: Fixed value: the word pattern of the byte-level tokenizers.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 CUT = "\x1f"
-KEPT = 800_000
+KEPT = 400_000
 SIGNS = r".,!;:*$#%&|?()\"<>=/+@~^_`\[\]{}\\\-"
 #: A run of signs that the word patterns take together; an apostrophe alone may start a contraction and isn't cut off.
 RUN = rf"'*[{SIGNS}][{SIGNS}']*"
