@@ -18,7 +18,7 @@ lists. DivideSkip leaves the longest lists out of the merge, as many as T allows
    BLOCK nodes. A block is one task's work: it inverts its nodes' sets, merges a query's short lists by their counts,
    probes the long ones for candidates that can still reach T, and gives links alone. So no link is lost.
 
-State: the sketch has at most 2 ** 27 bins of two bits (32 MB) whatever the data. Shingles are 64-bit hashes, which two
+State: the sketch has at most 2 ** 27 bins of two bits (32 MB a task, 16 MB broadcast) whatever the data. Shingles are 64-bit hashes, which two
 documents of a million shingles each confuse once in 10 ** 7 pairs; digests of sets are 126 bits, of which 63 name the
 node, and sets whose 63 bits agree while the others don't are named by the others.
 """
@@ -148,16 +148,21 @@ def describe(df: DataFrame, key: str, text: str, bins: int, words: int = WORDS)
     return df.select(key, text).mapInArrow(lean(run), f"`{key}` {of.simpleString()}, n long, node long, other long, range int, once binary, twice binary")
 
 
-def list_classes(described: DataFrame, bins: int) -> np.ndarray:
-    """By bin: 0 one node at most, 1 short, 2 long, 3 very long; packed, two bits a bin."""
+def list_classes(described: DataFrame, bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bits of the bins that hold more than one node, places of long lists, 2 or 3 for long and very long ones).
+
+    Long is rare by its definition, three deviations above the mean, so this is little more than a bit a bin.
+    """
     width = bins // RANGES
+    schema = "range int, bits binary, long binary, kinds binary"
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(r: int, count: np.ndarray) -> pa.RecordBatch:
             mean = float(count.mean())
-            kind = (count > 1).astype(np.uint8) + (count > mean + 3 * mean**0.5 + 1) + (count > 8 * (mean + 4))
-            packed = (kind.reshape(-1, 4).astype(np.uint8) << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8)
-            return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["range", "classes"])
+            long = np.flatnonzero((count > mean + 3 * mean**0.5 + 1) & (count > 1))
+            kinds = (2 + (count[long] > 8 * (mean + 4))).astype(np.uint8)
+            blobs = [zlib.compress(x.tobytes(), 1) for x in (np.packbits(count > 1, bitorder="little"), (long + r * width).astype(np.int64), kinds)]
+            return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=["range", "bits", "long", "kinds"])
 
         now, count = None, np.zeros(width, np.uint32)
         for b in source:
@@ -172,16 +177,22 @@ def list_classes(described: DataFrame, bins: int) -> np.ndarray:
             yield done(now, count)
 
     parts = described.where("range IS NOT NULL").select("range", "once", "twice").repartition(RANGES, "range").sortWithinPartitions("range")
-    out = np.zeros((RANGES, width // 4), np.uint8)
-    for r in parts.mapInArrow(lean(run), "range int, classes binary").collect():
-        out[r["range"]] = np.frombuffer(r["classes"], np.uint8)
-    return out.ravel()
+    bits, long, kinds = np.zeros((RANGES, width // 8), np.uint8), [], []
+    for r in sorted(parts.mapInArrow(lean(run), schema).collect()):
+        bits[r["range"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+        long.append(np.frombuffer(zlib.decompress(r["long"]), np.int64))
+        kinds.append(np.frombuffer(zlib.decompress(r["kinds"]), np.uint8))
+    return bits.ravel(), np.concatenate([np.zeros(0, np.int64), *long]), np.concatenate([np.zeros(0, np.uint8), *kinds])
 
 
-def in_order(own: np.ndarray, classes: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles, short lists first, and their classes."""
+def in_order(own: np.ndarray, classes: tuple[np.ndarray, np.ndarray, np.ndarray], bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles, short lists first, and their classes: 0 one node at most, 1 short, 2 long, 3 very long."""
+    bits, long, kinds = classes
     at = (own % np.uint64(bins)).astype(np.int64)
-    kind = (classes[at >> 2] >> ((at & 3) << 1).astype(np.uint8)) & 3
+    kind = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+    if len(long):
+        i = np.minimum(np.searchsorted(long, at), len(long) - 1)
+        kind = np.where(long[i] == at, kinds[i], kind)
     by = np.argsort(kind, kind="stable")
     return own[by], kind[by]
 
@@ -363,7 +374,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", share: F
     if len(clashes) > MOST_CLASHES:
         raise ValueError(f"more than {MOST_CLASHES} digests stand for several sets")
     docs = docs.withColumn("node", F.when(F.col("node").isin(*clashes), F.col("other")).otherwise(F.col("node")) if clashes else F.col("node")).drop("other")
-    classes = spark.sparkContext.broadcast(list_classes(described, bins))  # a quarter byte a bin
+    classes = spark.sparkContext.broadcast(list_classes(described, bins))  # little over a bit a bin, 16 MB at most bins
 
     posted = disk.keep(postings(df, "_t", classes, bins, clashes, share, words).distinct(), "postings")
     classes.unpersist()
