@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,11 +68,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collect garbage on the driver: Spark's cleaner drops broadcasts and shuffle files of steps that nothing refers to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables written in the shared folder for one operator's run, each dropped after its last reader."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+        let_go(spark)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """df written and read again."""
@@ -86,6 +94,7 @@ class Scratch:
         for t in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(t)][0])
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        let_go(self.spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -377,7 +377,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", share: F
     classes = spark.sparkContext.broadcast(list_classes(described, bins))  # little over a bit a bin, 16 MB at most bins
 
     posted = disk.keep(postings(df, "_t", classes, bins, clashes, share, words).distinct(), "postings")
-    classes.unpersist()
+    classes.destroy()
     sizes = posted.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     posts = posted.groupBy("node").agg(F.count("*").alias("posts"))
     lists = disk.keep(posted.join(sizes, "h").join(posts, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / LIST_PART))), "lists")
