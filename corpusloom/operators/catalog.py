@@ -184,3 +184,18 @@ def standard_language(code: Column) -> Column:
     """The audit's reading of a code: one of the standard ones, everything else as und."""
     known = T.language(code)
     return F.when(known.isin(*STANDARD), known).otherwise("und")
+
+
+def reindex_counts(df: DataFrame, new: Column, formats: tuple[str, ...], digest: Column) -> DataFrame:
+    """One row: total, updated, skipped, empty, sha_backfilled over documents that are not deleted and have a file.
+
+    Documents of the formats without content take the text `new`: updated where it has one, else empty. The others are
+    skipped. `digest` is the stored hash: one is filled in where it is null or empty and the file exists.
+    """
+    asks = F.coalesce(F.col("format").isin(*formats), F.lit(False)) & (F.coalesce(F.length("content"), F.lit(0)) == 0)
+    got = F.coalesce(F.length(new), F.lit(0)) > 0
+    no_hash = (F.coalesce(digest, F.lit("")) == "") & F.coalesce("file_exists", F.lit(False))
+    return df.where(~F.coalesce("deleted", F.lit(False)) & F.col("file_path").isNotNull()).agg(
+        F.count("*").alias("total"), F.count_if(asks & got).alias("updated"), F.count_if(~asks).alias("skipped"),
+        F.count_if(asks & ~got).alias("empty"), F.count_if(no_hash).alias("sha_backfilled"),
+    )

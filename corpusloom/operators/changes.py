@@ -142,3 +142,12 @@ def insert_checked(current: DataFrame, new: DataFrame, unique: str, key: str = "
     nth = F.row_number().over(Window.partitionBy(unique).orderBy(key))
     rows = new.select(key, unique, nth.alias("_n")).join(taken, unique, "left")
     return rows.select(key, F.when(F.col("_t").isNotNull() | (F.col("_n") > 1), "conflict").otherwise("created").alias("outcome"))
+
+
+def operations(log: DataFrame, kind: str | None = None, status: str | None = None, limit: int = 20, offset: int = 0, key: str = "id") -> DataFrame:
+    """A page of the log's operations, newest first, ties by larger key, with the number of all that fit as `total`."""
+    fit = log
+    for name, wanted in (("kind", kind), ("status", status)):
+        fit = fit.where(F.col(name) == wanted) if wanted else fit
+    page = fit.orderBy(F.desc("created_at"), F.desc(key)).offset(offset).limit(limit)
+    return page.crossJoin(F.broadcast(fit.agg(F.count("*").alias("total"))))  # one row

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters after which a chunk may end.
+ENDINGS = "。！？；.!?;"
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -55,3 +60,47 @@ def chunks(df: DataFrame, key: str = "id", text: str = "content", width: int = 8
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - overlap) / F.lit(float(step))).cast("int") - 1))
     cut = df.where(n >= least).select(key, F.col(text).alias("_t"), F.posexplode(starts).alias("idx", "_s"))
     return cut.select(key, "idx", F.substring("_t", F.col("_s") * step + 1, F.lit(width)).alias("chunk"))
+
+
+def tidy(c: Column) -> Column:
+    """One line end, one blank for runs of blanks, at most one empty line, no white space at the ends; null is empty."""
+    for pattern, by in (("\r\n?", "\n"), (r"[ \t\u00a0\u3000]+", " "), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+        c = F.regexp_replace(F.coalesce(c, F.lit("")), pattern, by)
+    return c
+
+
+def cut_chunks(df: DataFrame, key: str = "id", text: str = "content", width: int = 800, overlap: int = 120, tail: int = 200, least: int = 200, most: int = 200) -> DataFrame:
+    """key, idx, chunk: windows over the tidied text that end at the last ENDINGS character of their last `tail` ones, if any.
+
+    Each window starts `overlap` characters before the end of the one before, so the places depend on one another and
+    the cut is a Python function. Texts below `least` give none; `most` windows a text at most, as the feature asks.
+    """
+
+    def cut(whole: str) -> list[str]:
+        out, start = [], 0
+        while len(out) < most:
+            end = start + width
+            if end < len(whole):
+                last = max(whole.rfind(x, end - tail, end) for x in ENDINGS)
+                end = last + 1 if last >= 0 else end
+            out.append(whole[start:end].strip())
+            if end >= len(whole):
+                break
+            start = max(end - overlap, start + 1)
+        return [x for x in out if x]
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield part.map(cut)
+
+    tidied = df.select(key, tidy(F.col(text)).alias("_t")).where(F.length("_t") >= least)
+    return tidied.select(key, F.posexplode(pieces("_t")).alias("idx", "chunk"))
+
+
+def hybrid(by_vector: DataFrame, by_text: DataFrame, depth: int = 5, query: str = "query_id", item: str = "item", rank: str = "rank", constant: int = 60) -> DataFrame:
+    """query, item, rrf, rank: both lists cut to `depth`, fused, the best `depth` again; ties by item."""
+    first = lambda df: df.select(query, item, rank).where(F.col(rank) <= depth)
+    fused = fuse(first(by_vector).unionByName(first(by_text)), query, item, rank, constant)
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("rrf"), item))
+    return fused.withColumn(rank, place).where(F.col(rank) <= depth)

@@ -207,3 +207,46 @@ def test_file_listing(spark, tmp_path):
         p.write_bytes(b"1" * size)
     got = sorted((r.name, r.kind) for r in files(spark, str(tmp_path)).collect())
     assert got == [("x.txt", "duplicate"), ("x.txt", "importable"), ("y.txt", "bad"), ("z.bin", "unsupported")]
+
+
+def test_addresses_against_ipaddress(spark):
+    import ipaddress
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import addresses
+
+    rnd = random.Random(5)
+    ips = [str(ipaddress.ip_address(rnd.randrange(1 << 32))) for _ in range(150)] + [f"{a}.{b}.0.1" for a in (10, 100, 172, 192, 198) for b in (0, 15, 16, 18, 31, 32, 64, 127, 168)]
+    ips += [str(ipaddress.ip_address(rnd.getrandbits(128) & ~(((1 << rnd.choice((16, 64, 100))) - 1) << 10))) for _ in range(150)]
+    ips += ["::1", "::", "::2", "fc00::1", "fdff::", "fe80::1", "febf::1", "fec0::", "64:ff9b::102:304", "64:ff9b:1::1", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "2002:a00:1::", "2002:808:808::"]
+    bad = ["", "1.2.3", "1.2.3.256", "host", "1:2", ":::", "1::2::3", "12345::", "01.2.3.4"]
+
+    def want(ip):
+        x = ipaddress.ip_address(ip)
+        if x.version == 6:
+            x = x.ipv4_mapped or x.sixtofour or x
+        return any(x in ipaddress.ip_network(n) for n in addresses.BLOCKED_V4 + addresses.BLOCKED_V6)
+
+    rows = spark.createDataFrame([(x,) for x in ips + bad], "ip string").select("ip", addresses.blocked(F.col("ip"))).collect()
+    assert {r[0]: r[1] for r in rows} == {x: want(x) for x in ips} | dict.fromkeys(bad)
+    urls = {"http://a.org": None, "HTTPS://u:p@a.org:8443/x?y": None, "http://a.org:22": "port", "http://127.0.0.1/": "address", "ftp://a.org": "scheme", "http:///x": "host", None: "scheme", "http://[::1]:80/": "address"}
+    rows = spark.createDataFrame([(x,) for x in urls], "u string").select("u", addresses.refusal(F.col("u"))).collect()
+    assert dict(map(tuple, rows)) == urls
+
+
+def test_cut_chunks(spark):
+    from corpusloom.operators import vectors
+
+    texts = {1: "x" * 199, 2: None, 3: "y" * 2000, 4: ("word " * 30 + "end. ") * 20, 5: "z" * 700 + "." + "z" * 500, 6: "q" * 200000, 7: "z" * 500 + "." + "z" * 700, 8: "a\r\n\r\n\r\n\r\nb　　c" + "d" * 300}
+    got = {}
+    for r in spark.createDataFrame(list(texts.items()), "id long, content string").transform(vectors.cut_chunks).orderBy("id", "idx").collect():
+        got.setdefault(r["id"], []).append(r["chunk"])
+    assert set(got) == {3, 4, 5, 6, 7, 8}
+    assert [len(x) for x in got[3]] == [800, 800, 640]
+    assert [len(x) for x in got[5]] == [701, 620] and got[5][0].endswith(".")
+    assert [len(x) for x in got[7]] == [800, 521]
+    assert len(got[6]) == 200 and all(len(x) == 800 for x in got[6])
+    assert all(x.endswith("end.") for x in got[4][:-1]) and got[8][0].startswith("a\n\nb cd")
+    assert spark.createDataFrame([], "id long, content string").transform(vectors.cut_chunks).count() == 0
