@@ -438,4 +438,4 @@ def z_session_minutes(spark: SparkSession, sf: str) -> DataFrame:
     return state.sessions(table(spark, sf, "events"), "user_id", "ts")
 
 
-from . import intake, notes, shelf  # noqa: E402, F401
+from . import intake, notes, reports, shelf  # noqa: E402, F401

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import audit, catalog, changes, graph, listing, review, search, vectors
+from corpusloom.operators import audit, catalog, changes, exports, graph, listing, local, review, search, vectors
 from corpusloom.sources.tables import files
 from corpusloom.streaming import state
 
@@ -213,8 +213,6 @@ def test_addresses_against_ipaddress(spark):
     import ipaddress
     import random
 
-    from pyspark.sql import functions as F
-
     from corpusloom.operators import addresses
 
     rnd = random.Random(5)
@@ -250,3 +248,38 @@ def test_cut_chunks(spark):
     assert len(got[6]) == 200 and all(len(x) == 800 for x in got[6])
     assert all(x.endswith("end.") for x in got[4][:-1]) and got[8][0].startswith("a\n\nb cd")
     assert spark.createDataFrame([], "id long, content string").transform(vectors.cut_chunks).count() == 0
+
+
+def test_numbered_in_ranges(spark):
+    rows = [(i, None if i % 9 == 0 else i * 7 % 50) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, at long")
+    want = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])), 1)}
+    for each in (20, 1000):
+        assert {r.id: r.nth for r in exports.numbered(df, "at", rows_each=each).collect()} == want
+    assert exports.numbered(df.limit(0), "at").count() == 0
+
+
+def test_file_names(spark):
+    df = spark.createDataFrame([(7, ' a/b:\n "c" '), (1234, None), (8, "x" * 90)], "n long, t string")
+    assert [r[0] for r in df.select(exports.file_name(F.col("n"), F.col("t"))).collect()] == ["007-a b c.md", "1234-无标题.md", f"008-{'x' * 60}.md"]
+
+
+def test_backup_round_trip(spark, tmp_path):
+    one = spark.createDataFrame([(1, "ü\n\"", None), (2, None, 0.5)], "id long, t string, x double")
+    two = spark.createDataFrame([], "k string")
+    exports.write_backup({"one": one, "two": two}, str(tmp_path / "b"))
+    back = exports.read_backup(spark, str(tmp_path / "b"))
+    assert sorted(back) == ["one", "two"] and back["two"].count() == 0
+    assert sorted(map(tuple, back["one"].collect())) == [(1, "ü\n\"", None), (2, None, 0.5)]
+
+
+def test_local_library(spark):
+    rows = [(1, "B", None, None, "zh_CN", 100.0, None, ["x"]), (2, "a", "Ann", "pdf", "zh", 3.0, 9, None), (3, None, "ann", "PDF", None, None, 5, [])]
+    df = spark.createDataFrame(rows, "id long, title string, author string, format string, language string, progress double, last_read_at long, tags array<string>")
+    df = df.selectExpr("*", "'' AS publisher", "cast(NULL AS string) AS description", "'c' AS category", "id AS added_at")
+    ids = lambda **k: sorted(r.id for r in local.matches(df, **k).collect())
+    assert ids() == ids(shelf="recent") == ids(category="c") == [1, 2, 3]
+    assert ids(search=" ANN ") == [2, 3] and ids(author="Ann") == [2] and ids(format="Pdf") == [2, 3] and ids(tag="x") == [1]
+    assert ids(shelf="done") == [1] and ids(shelf="reading") == [2] and ids(shelf="unread") == [3] and ids(category="d") == []
+    order = lambda name: [r.id for r in local.sort(df, name).collect()]
+    assert order("last_read_desc") == [2, 3, 1] and order("created_desc") == order("other") == [3, 2, 1] and order("title_asc") == [3, 2, 1]
