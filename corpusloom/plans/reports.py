@@ -22,9 +22,9 @@ def books(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("f_local_filter", BOOKS_SQL + """ SELECT id, format FROM k WHERE contains(lower(concat(coalesce(title, ''), ' ', coalesce(author, ''), ' ', coalesce(publisher, ''), ' ', description)), 'press 1')
-AND contains(coalesce(author, ''), 'author 1') AND format = 'EPUB' AND id % 5 = 2 AND progress > 0 AND progress < 100""")
+AND contains(coalesce(author, ''), 'author 1') AND format = 'TXT' AND id % 5 = 2 AND progress > 0 AND progress < 100""")
 def f_local_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return local.matches(books(spark, sf), search=" PRESS 1 ", author="author 1", format="epub", tag="t2", shelf="reading").select("id", "format")
+    return local.matches(books(spark, sf), search=" PRESS 1 ", author="author 1", format="txt", tag="t2", shelf="reading").select("id", "format")
 
 
 def _sorted(name: str, order: str) -> None:
