@@ -3,7 +3,8 @@
 A page becomes a list of blocks. Each has a word count, a link density (share of its words inside links), the same of
 the blocks before and after it, its place (inside the article, inside a menu, header, footer, sidebar, notice, advert,
 form or comment, or neither) and whether it stands outside a page's marked article. Spark ML fits a decision tree to
-the blocks of a small labelled table of pages; the blocks that it takes for content are the main text. Pages are rows,
+the blocks of a small labelled table of pages; the blocks that it takes for content are the main text. Where a page marks
+its article the marks decide; elsewhere a block's own size and links and those of its neighbours do. Pages are rows,
 a page's work depends on that page alone, and the tree (a few nodes) goes out with the tasks: no shuffle.
 """
 
@@ -23,7 +24,7 @@ from .common import table
 from .tokens import batches
 
 FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "place", "outside"]
-DEPTH = 5
+DEPTH = 8
 
 #: Elements by their role in HTML, and names that pages give to parts other than the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -161,6 +162,8 @@ def features(found: list[tuple[str, int, int, int]]) -> list[list[float]]:
 #: The labelled table: pages, and for each of their blocks in order 1 for content and 0 for the rest.
 _A = "A first paragraph of the article that says in some twenty words what it is all about and why it matters."
 _B = "Another one goes on, with more detail on each point that was raised before, and closes the case."
+_C = "Some prose points <a>elsewhere</a> now and then, which makes it no menu, for most of its words are no link at all."
+_MENU = "<div><a>Home</a> <a>News</a> <a>About us</a></div>"
 LABELLED = [
     (f"<nav><a>Home</a> <a>News</a></nav><article><h1>A title of it</h1><p>{_A}</p><p>Short.</p><p>{_B}</p></article><footer>&copy; site, all rights kept here</footer>", [0, 1, 1, 1, 1, 0]),
     (f"<header>Site name</header><div class=ad>Buy this thing now, it is very cheap today.</div><article><h1>Title</h1><p>{_A}</p></article>", [0, 0, 1, 1]),
@@ -175,9 +178,50 @@ LABELLED = [
     (f"<article><p>{_B}</p><aside>Aside text stands here</aside><blockquote>{_A}</blockquote><form>Write to us and get news</form></article>", [1, 0, 1, 0]),
     (f"<p>{_A}</p>", [1]),
     ("<p>Brief note only.</p><p>Word.</p>", [1, 1]),
+    (f"<article><p>{_A}</p><ul><li><a>One</a></li><li><a>Two more</a></li></ul><p><a>Source</a></p><p>{_B}</p><p><a>A</a></p></article>", [1, 1, 1, 1, 1, 1]),
+    (f"<main><h2><a>Linked title</a></h2><p>{_C}</p><p><a>Next</a></p></main><div><a>Home</a></div>", [1, 1, 1, 0]),
+    (f"<article><p>{_A}</p></article><div>Last words</div>", [1, 0]),
+    (f"<div>Top</div><main><p>{_B}</p><p>Short.</p></main><div>Made here</div><div>O</div>", [0, 1, 1, 0, 0]),
+    (f"<div>A line of some words</div><div>X</div><main><p>{_B}</p></main><div>{_A}</div>", [0, 0, 1, 0]),
+    (f"<article><h1>Title</h1><p>{_C}</p><p>{_A}</p></article>", [1, 1, 1]),
+    (f"<article><h1>Title</h1><p><a>Link</a></p><p>Text.</p><p><a>Link</a></p></article><nav><a>Home</a></nav>", [1, 1, 1, 1, 0]),
+    (f"<h1>Title of it</h1><p>{_C}</p><p>{_A}</p>{_MENU}", [1, 1, 1, 0]),
+    (f"{_MENU}<div class='cookie notice'>{_A}</div><p>{_B}</p>{_MENU}<div class=sidebar>{_C}</div><p>{_A}</p><div class=footer>{_B}</div>", [0, 0, 1, 0, 0, 1, 0]),
+    (f"{_MENU}<div class=banner>{_A} {_B}</div>{_MENU}<div class=ad>{_B} {_A}</div><p>{_A}</p>{_MENU}<div class=legal>{_A} {_B} {_A}</div>", [0, 0, 0, 0, 1, 0, 0]),
+    (f"<div class=banner>Hello</div><p>{_A}</p><div class=share>Tell others</div><p>{_B}</p><div class=promo>New</div>", [0, 1, 0, 1, 0]),
+    (f"<table><tr><td>Topics of the day</td><td><a>Start</a></td><td><a>Sport</a> <a>Money</a></td></tr><tr><td>{_C}</td><td>Yes.</td><td>{_B}</td></tr><tr><td><a>Terms of use</a></td><td>By Some Company</td></tr></table>", [0, 0, 0, 1, 1, 1, 0, 0]),
+    (f"{_MENU}<div>See also <a>this</a> <a>that</a></div>{_MENU}<h1>What came of it</h1><p>{_C}</p><p>{_A}</p><p>The end.</p>", [0, 0, 0, 1, 1, 1, 1]),
 ]
 
 
+def _unmarked(kinds: str) -> tuple[str, list[int]]:
+    """A labelled page of plain divs: m menu of links, l label among links, t text of the article, each with its words."""
+    told = [(k[0], " ".join(["word"] * int(k[1:]))) for k in kinds.split()]
+    return "".join(f"<div><a>{x}</a></div>" if k == "m" else f"<div>{x}</div>" for k, x in told), [int(k == "t") for k, _ in told]
+
+
+#: Pages without marks: a short block among links is a label of them, one beside prose belongs to it.
+LABELLED += map(_unmarked, (
+    "m4 l1 m21 t2 t40 t22 m9 l6 m3 l8",
+    "m60 l2 m12 t7 t15 t60 t2 t33 m40 l1 m2 l5",
+    "l9 m1 l2 m35 t1 t27 t6 t19 m5 l3",
+    "m15 l5 m50 l3 m8 t9 t70 t1 t12 t4 t45 m25 l2",
+    "m2 t4 t18 t80 t3 t30 m70 l7 m18 l4",
+    "m30 l4 m6 l1 m45 t3 t13 t50 m12 l9 m28 l1",
+    "m8 t6 t35 t9 t24 t5 t16 m2 l6 m65 l2 m1",
+    "m80 l7 m22 t5 t90 t14 t8 t55 m33 l3",
+    "m11 l3 m17 t8 t20 t28 t7 t38 t1 t65 m7 l8 m10 l5",
+    "m26 l8 m3 l6 m55 t2 t100 t11 t25 m14 l4 m38 l7 m5",
+    "m9 t40",
+    "m10 t45 m12 l9",
+    "m37 t26 m4 t17 m20 l6 m3 l2",
+    "m5 t95 m44 l8 m10 t20",
+    "m6 t40 t4",
+    "m3 t20 t30 t8",
+    "m12 t5 t9 t2",
+))
+
+
 def fit_tree(spark: SparkSession, labelled: list[tuple[str, list[int]]] | None = None, depth: int = DEPTH) -> tuple:
     """Nested (feature, threshold, left, right) down to leaves True or False, fitted by Spark ML; few nodes."""
     rows = []

@@ -1,6 +1,7 @@
 """Training-data operators against brute force, exact round trips and held-out accuracy; odd inputs."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -257,6 +258,39 @@ def test_html_keeps_whole_articles(spark):
         assert html_text.main_text(f"<article><p>{a}</p></article><div class='{name}'><p>{b}</p></div>", tree) == a, name
 
 
+def test_html_tree_on_held_out_pages(spark):
+    tree = html_text.fit_tree(spark)
+    r, words = random.Random(5), "river stone green walk under paper light seven often table morning quiet train".split()
+    say = lambda a, b: " ".join(r.choice(words) for _ in range(r.randint(a, b)))
+
+    def features_of(node) -> set:
+        return set() if isinstance(node, bool) else {node[0]} | features_of(node[2]) | features_of(node[3])
+
+    assert features_of(tree) & {2, 3, 4, 5}, "the neighbours decide nothing"
+    right = n = 0
+    for _ in range(100):
+        menu = lambda: ("<div>" + " ".join(f"<a>{say(1, 3)}</a>" for _ in range(r.randint(1, 8))) + "</div>", 0)
+        page = [menu(), (f"<div>{say(1, 6)}</div>", 0), menu(), (f"<h1>{say(1, 9)}</h1>", 1)]
+        for _ in range(r.randint(2, 6)):
+            page += [(f"<p>{say(15, 60)}</p>", 1), (f"<p>{say(1, 6)}</p>", 1), (f"<p>{say(12, 40)}</p>", 1)]
+        page += [menu(), (f"<div>{say(2, 7)}</div>", 0)]
+        found = html_text.features(html_text.blocks("".join(x for x, _ in page)))
+        right += sum(html_text.is_content(tree, f) == bool(k) for f, (_, k) in zip(found, page, strict=True))
+        n += len(page)
+    assert right / n > 0.98
+    for kinds in ("m5 t60", "m20 t25 m9", "t30 m8", "m3 t18 m9 t70 m2 l3", "m6 l3 m40 t33", "m9 t3 t50 t4", "t9"):
+        page, want = html_text._unmarked(kinds)
+        assert [int(html_text.is_content(tree, f)) for f in html_text.features(html_text.blocks(page))] == want, kinds
+
+
+def test_html_tree_keeps_articles_and_drops_what_is_named(spark):
+    tree, sizes, shares = html_text.fit_tree(spark), (1, 2, 5, 9, 10, 30, 100), (0.0, 0.1, 0.3, 0.6, 0.8, 1.0)
+    sides = [(0, 0.0), *itertools.product(sizes, shares)]
+    for own, before, after in itertools.product(itertools.product(sizes, shares), sides, sides):
+        for place, outside, kept in ((1.0, 0.0, True), (0.0, 1.0, False), (-1.0, 0.0, False), (-1.0, 1.0, False)):
+            assert html_text.is_content(tree, [*own, *before, *after, place, outside]) == kept
+
+
 def test_html_odd_pages(spark):
     a = html_text._A
     long_page = f"<article>{'<p>' + a + '</p>'} {'<p>word and more</p>' * 20_000}</article>"
