@@ -258,7 +258,7 @@ def test_html_keeps_whole_articles(spark):
         assert html_text.main_text(f"<article><p>{a}</p></article><div class='{name}'><p>{b}</p></div>", tree) == a, name
 
 
-def test_html_tree_on_held_out_pages(spark):
+def test_html_tree_on_generated_pages(spark):
     tree = html_text.fit_tree(spark)
     r, words = random.Random(5), "river stone green walk under paper light seven often table morning quiet train".split()
     say = lambda a, b: " ".join(r.choice(words) for _ in range(r.randint(a, b)))
