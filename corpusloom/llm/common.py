@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Word separators of every word count here: space and U+0009 to U+000D.
@@ -97,6 +97,21 @@ class Scratch:
         let_go(self.spark)
 
 
+def placed(scratch: Scratch, df: DataFrame, order: list[Column], groups: tuple[str, ...] = ()) -> DataFrame:
+    """df plus place long (from 0, of a row among its group's rows in this order) and total long (rows of the group).
+
+    order starts with the groups, which hold no nulls. Rows are dealt by ranges of the whole order, so that a group may
+    spread over many tasks, sorted there and written once; what tells ranges apart is one row a group and task.
+    """
+    rows = scratch.keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn("_task", F.shiftright("_at", 33))
+    sizes = rows.groupBy(*groups, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_task"))
+    sizes = sizes.select(*groups, "_task", (upto - F.col("_n") - F.col("_first")).alias("_shift"), F.sum("_n").over(Window.partitionBy(*groups)).alias("total"))
+    sizes = sizes if groups else F.broadcast(sizes)  # without groups one row a task
+    return rows.join(sizes, [*groups, "_task"]).withColumn("place", F.col("_at") + F.col("_shift")).drop("_at", "_task", "_shift")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """DataFrame.checkpoint() with the folder made sure of; for small id tables."""
     shared_dir(df.sparkSession)
