@@ -11,7 +11,6 @@ from ..sources.tables import SQL, documents, table
 from ..streaming import state
 from .base import REGISTRY, query  # noqa: F401
 
-TERMS = ["thtion", "ering", "with"]
 RULES = [("prices", ["worthless", "$$$"]), ("ads", ["buy", "!!"]), ("forms", [" | ", "###"]), ("people", ["idiot", "moron", "clown"]), ("plain", ["the", "der", "les"])]
 
 
@@ -189,16 +188,6 @@ def w_greedy_thinning(spark: SparkSession, sf: str) -> DataFrame:
 # --- search
 
 
-@query("l_bm25_topk", SQL + """, f AS (SELECT id, lower(content) AS c, lower(title) AS t, length(content) + length(title) AS size FROM d),
-tf AS (SELECT f.*, q, 5.0 * ((length(t) - length(replace(t, q, ''))) // length(q)) + 1.0 * ((length(c) - length(replace(c, q, ''))) // length(q)) AS w FROM f, (VALUES ('thtion'), ('ering'), ('with')) v(q)),
-s AS (SELECT count(*) AS n, avg(size) AS a FROM f), df AS (SELECT q, count(*) AS df FROM tf WHERE w > 0 GROUP BY q)
-SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * w * 2.2 / (w + 1.2 * (0.25 + 0.75 * size / a))), 6) AS score, CAST(count(*) AS INTEGER) AS hit_terms
-FROM tf JOIN df USING (q), s WHERE w > 0 GROUP BY id ORDER BY score DESC, id LIMIT 50""")
-def l_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    d = search.bm25(documents(spark, sf), TERMS, {"title": 5.0, "content": 1.0})
-    return d.select("id", F.round("score", 6).alias("score"), "hit_terms").orderBy(F.desc("score"), "id").limit(50)
-
-
 @query("l_substring_rank", SQL + " SELECT id, CASE WHEN contains(lower(title), 'of the') THEN 0 WHEN contains(lower(content), 'of the') THEN 1 END AS field FROM d WHERE contains(lower(content), 'of the') OR contains(lower(title), 'of the')")
 def l_substring_rank(spark: SparkSession, sf: str) -> DataFrame:
     rank = search.field_rank("of the", ("title", "content"))
@@ -438,4 +427,4 @@ def z_session_minutes(spark: SparkSession, sf: str) -> DataFrame:
     return state.sessions(table(spark, sf, "events"), "user_id", "ts")
 
 
-from . import intake, notes, reports, shelf  # noqa: E402, F401
+from . import intake, notes, reports, retrieval, shelf  # noqa: E402, F401

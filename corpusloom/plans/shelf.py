@@ -372,13 +372,6 @@ def _merge(terms: list[str], where: str = "TRUE") -> str:
     return "SELECT id, CAST(count(*) AS INTEGER) AS hit_terms, min(score) AS score, bool_or(score = 0) AS in_title FROM (" + " UNION ALL ".join(one) + ") GROUP BY id"
 
 
-@query("l_multi_term_merge", SHELF_SQL + " " + _merge(["title 12", "idiot", "worthless"]))
-def l_multi_term_merge(spark: SparkSession, sf: str) -> DataFrame:
-    df = shelf(spark, sf)
-    index = search.gram_index(df, FIELDS)
-    return search.routed(df, ["title 12", "idiot", "Worthless"], FIELDS, index).select("id", "hit_terms", "score", "in_title")
-
-
 @query("l_short_term_fill", SHELF_SQL + ", g AS (" + _merge(["title 12"]) + "), h AS (" + _merge(["zz", "!!"], "id NOT IN (SELECT id FROM g)") + ") SELECT * FROM g UNION ALL SELECT * FROM (SELECT * FROM h ORDER BY id LIMIT greatest(0, 60 - (SELECT count(*) FROM g)))")
 def l_short_term_fill(spark: SparkSession, sf: str) -> DataFrame:
     return search.routed(shelf(spark, sf), ["title 12", "zz", "!!"], FIELDS, quota=60).select("id", "hit_terms", "score", "in_title")
