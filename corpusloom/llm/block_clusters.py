@@ -143,7 +143,7 @@ def clusters(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: i
     scratch = Scratch(df.sparkSession, "clusters")
     vectors = sound(df, key, vector)
     first = vectors.orderBy(F.sha2(F.concat(F.lit(seed), F.col("key").cast("string")), 256), "v").limit(k).select("v").collect()
-    centres = np.array([r["v"] for r in first], np.int64).reshape(len(first), -1)
+    centres = np.array([r["v"] for r in first], np.int64).reshape(len(first), DIMS)
     if not len(centres):
         return df.sparkSession.createDataFrame([], "key long, cluster int, distance long").withColumnRenamed("key", key), centres
     kept = written(scratch, vectors)
