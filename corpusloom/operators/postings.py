@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..sources.workspace import exists, once
 from .search import K1, B
@@ -213,6 +214,19 @@ class Index:
         changed.select(self.key).distinct().write.mode("overwrite").parquet(f"{self.path}/gone/generation={generation}")
         self.write(changed.where(~F.col("gone")), f"{self.path}/postings/generation={generation}")
 
+    def follow(self, changes: DataFrame, order: str, checkpoint: str) -> DataStreamWriter:
+        """A writer that applies a stream of changes (see apply_changes), a micro-batch as a generation.
+
+        Of several changes of a key in one micro-batch the last by `order` counts. A batch that is run again after a
+        failure writes its own generation again, so the index is the same as without the failure.
+        """
+
+        def write(batch: DataFrame, number: int) -> None:
+            last = batch.groupBy(self.key).agg(F.max_by(F.struct("gone", *self.columns), order).alias("x"))
+            self.apply_changes(last.select(self.key, "x.*"), number + 1)
+
+        return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
     def matches(self, phrases: list[str]) -> DataFrame:
         """key, size, tf array<array<int>> (by phrase, then field): documents with any of the phrases, and how often each
         field holds each (without overlaps). A phrase too short for the index is refused."""

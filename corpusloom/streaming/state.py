@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keyed import limited_stream, locked_out_stream, thinned_stream  # noqa: F401
+
 
 def decided(df: DataFrame, keys: list[str], at: str, most: int, span: int) -> DataFrame:
     """keys, at, allowed: rows in order of time by key, each allowed while fewer than `most` allowed ones lie within
@@ -73,28 +74,6 @@ def limited(df: DataFrame, keys: list[str], at: str, most: int, seconds: int) ->
     return decided(df, keys, at, most, seconds * 1_000_000)
 
 
-def limited_stream(stream: DataFrame, key: str, at: str, most: int, seconds: int) -> DataFrame:
-    """key, at, allowed as a stream: the state of a key is its allowed times within the window, at most `most`."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(at)
-        allowed = []
-        for t in rows[at].astype("int64").tolist():
-            t = pd.Timestamp(t, unit=rows[at].dt.unit).value // 1000
-            kept = [x for x in kept if t - x <= seconds * 1_000_000]
-            allowed.append(len(kept) < most)
-            if allowed[-1]:
-                kept.append(t)
-        state.update((kept,))
-        yield pd.DataFrame({key: k[0], at: rows[at], "allowed": allowed})
-
-    kind = dict(stream.dtypes)
-    out = f"`{key}` {kind[key]}, `{at}` {kind[at]}, allowed boolean"
-    return stream.select(key, at).groupBy(key).applyInPandasWithState(run, out, "kept array<bigint>", "append", GroupStateTimeout.NoTimeout)
-
-
 def arrivals(stream: DataFrame, digest: str, at: str, within: str = "1 day") -> DataFrame:
     """Rows whose digest did not arrive before within the watermark; works on batches and streams."""
     if stream.isStreaming:
