@@ -63,7 +63,8 @@ class Grams:
 class Runs:
     """Ideographs, two in a row, and whole lower-cased runs of other characters.
 
-    A phrase of ideographs is found wherever it stands; other text only by whole runs between blanks and ideographs.
+    A phrase of ideographs is found wherever it stands; other text only by whole runs between blanks and ideographs. A blank
+    of a phrase stands for any white space of its length.
     """
 
     def tokens(self, text: str) -> Iterator[tuple[str, int]]:
