@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,32 @@ def snapshot_arm(df: DataFrame, snapshot: DataFrame, arm: str) -> DataFrame:
     return df.join(snapshot.where(F.array_contains("issues", code)).select("id"), "id", "left_semi")
 
 
+#: Names of the quality filter; the last two need the last audit, `issues` is any but not_audited.
+QUALITY_KINDS = ("empty_content", "short_content", "no_cover", "unclassified", "language_variant", "needs_ocr", "missing_file", "duplicate", "not_audited", "issues")
+
+
+def quality_kinds(df: DataFrame, snapshot: DataFrame, threshold: int = 500) -> DataFrame:
+    """df plus quality array<string>: all names of QUALITY_KINDS that hold of a row, in their order.
+
+    What is cheap is judged as the row is now, the rest as the last audit (id, issues) found it: one join for all names.
+    """
+    n, cover = F.length(F.trim(F.coalesce("content", F.lit("")))), F.coalesce("cover_path", F.lit(""))
+    code = F.coalesce("language", F.lit(""))
+    now = [n == 0, (n > 0) & (n < threshold), cover == "", F.col("collection").isNull(), (code != "") & ~code.isin(*STANDARD)]
+    then = [F.coalesce(F.array_contains("_i", c), F.lit(False)) for c in ("needs_ocr", "missing_file", "duplicate_sha")]
+    tests = [*now, *then, F.col("_i").isNull()]
+    tests.append(reduce(Column.__or__, [*now, *then]))
+    rows = df.join(snapshot.select("id", F.coalesce("issues", F.array().cast("array<string>")).alias("_i")), "id", "left")
+    return rows.withColumn("quality", F.array_compact(F.array(*[F.when(t, k) for t, k in zip(tests, QUALITY_KINDS, strict=True)]))).drop("_i")
+
+
+def of_quality(df: DataFrame, snapshot: DataFrame, kind: str, threshold: int = 500) -> DataFrame:
+    """Rows of df of a quality; unknown names are refused."""
+    if kind not in QUALITY_KINDS:
+        raise ValueError(f"unknown quality: {kind}")
+    return quality_kinds(df, snapshot, threshold).where(F.array_contains("quality", kind)).drop("quality")
+
+
 def quality_summary(df: DataFrame, snapshot: DataFrame, codes: tuple[str, ...]) -> DataFrame:
     """One row: total, audited, stale (changed after the audit, or never audited), last audit, and a count for each code."""
     joined = df.select("id", "updated_minute").join(snapshot.select("id", F.col("checked_minute").alias("at"), "issues"), "id", "left")

@@ -19,6 +19,34 @@ def in_order(items: DataFrame, df: DataFrame, status: str = "active") -> DataFra
     return rows.orderBy("priority", "sort_order", "created_minute", "id")
 
 
+#: States of an item.
+STATUSES = ("active", "paused", "done")
+
+
+def patched(items: DataFrame, changes: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
+    """(items after the changes that are valid, id and outcome of every change).
+
+    changes: id, given array<string>, priority, note, status. Only given fields are set: priority within its bounds,
+    note cut; null leaves them. Outcomes: not_found, no_fields, bad_status, updated; updated_minute becomes `at`.
+    """
+    new = changes.select("id", "given", *[F.col(c).alias(f"_{c}") for c in ("priority", "note", "status")])
+    has = lambda c: F.array_contains("given", c)
+    bad = has("status") & ~F.coalesce(F.col("_status").isin(*STATUSES), F.lit(False))
+    outcome = F.when(F.size("given") == 0, "no_fields").when(bad, "bad_status").otherwise("updated")
+    judged = new.join(items.select("id", F.lit(True).alias("_there")), "id", "left").withColumn("outcome", F.when(F.col("_there").isNull(), "not_found").otherwise(outcome))
+    fit = judged.where("outcome = 'updated'").drop("_there", "outcome")
+    priority, note = item(F.col("_priority"), F.col("_note"))
+    rows = items.join(fit, "id", "left")
+    value = lambda c, v: F.when(F.coalesce(has(c), F.lit(False)) & F.col(f"_{c}").isNotNull(), v).otherwise(F.col(c)).alias(c)
+    own = {"priority": value("priority", priority), "note": value("note", note), "status": value("status", F.col("_status")), "updated_minute": F.when(F.col("given").isNotNull(), F.lit(at)).otherwise(F.col("updated_minute")).alias("updated_minute")}
+    return rows.select(*[own.get(c, F.col(c)) for c in items.columns]), judged.select("id", "outcome")
+
+
+def upcoming(items: DataFrame, df: DataFrame) -> DataFrame:
+    """The next item of the queue, if there is one."""
+    return in_order(items, df).limit(1)
+
+
 def reordered(items: DataFrame, ids: list) -> DataFrame:
     """items with sort_order set to the place in `ids`; the others keep theirs."""
     given = items.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in ids])).alias("_place", "id"))

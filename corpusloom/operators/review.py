@@ -100,6 +100,29 @@ def rated(days: int, ease: float, reps: int, lapses: int, rating: int) -> tuple[
     return days, min(EASE_MAX, max(EASE_MIN, ease + EASE_CHANGE[rating])), reps, lapses
 
 
+#: Words after minutes and days.
+MINUTES, DAYS = " 分钟", " 天"
+
+
+def interval_words(minutes: Column) -> Column:
+    """Whole minutes below a day, else whole days, both half to even and 1 at least."""
+    n = F.bround(minutes.cast("double"), 0).cast("long")
+    days = F.bround(n / 1440, 0).cast("long")
+    return F.when(n < 1440, F.concat(F.greatest(n, F.lit(1)), F.lit(MINUTES))).otherwise(F.concat(F.greatest(days, F.lit(1)), F.lit(DAYS)))
+
+
+def preview(state: Column, again: int = AGAIN_MINUTES) -> Column:
+    """struct<again, hard, good, easy>: how long each rating would send a card away, in words."""
+    days = lambda r: step(state, F.lit(r))["interval"]
+    later = lambda r: interval_words(F.when(days(r) == 0, F.lit(again)).otherwise(days(r).cast("long") * 1440))
+    return F.struct(*[later(r).alias(n) for r, n in enumerate(("again", "hard", "good", "easy"), 1)])
+
+
+def last_active_days(df: DataFrame, most: int = 7) -> DataFrame:
+    """The newest `most` days with minutes (day, minutes), newest first."""
+    return df.where("minutes > 0").orderBy(F.desc("day")).limit(most)
+
+
 def minutes_by_day(df: DataFrame, start: str, end: str) -> DataFrame:
     """day, minutes: sessions count on the day they start, negative ones as 0; rounded half-even to one place."""
     spent = F.greatest(F.lit(0.0), (F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))) / 60e6)

@@ -49,6 +49,36 @@ def precision(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return judged.groupBy("query_id").agg(F.count("_r").alias("hits"), (F.count("_r") / F.lit(float(k))).alias("precision"))
 
 
+def by_document(ranked: DataFrame, document: str, query: str = "query_id", rank: str = "rank") -> DataFrame:
+    """query, document, rank: documents in the order of their first chunk, numbered from 1."""
+    first = ranked.groupBy(query, document).agg(F.min(rank).alias("_r"))
+    return first.select(query, document, F.row_number().over(Window.partitionBy(query).orderBy("_r", document)).alias(rank))
+
+
+def retrieval_quality(ranked: DataFrame, judged: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, hits, precision of every judged query: those without a result have 0. judged: query_id, item."""
+    found = precision(ranked, judged, k)
+    return judged.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.coalesce("precision", F.lit(0.0)).alias("precision"))
+
+
+def compared(new: DataFrame, old: DataFrame) -> DataFrame:
+    """One row: queries, mean precision of both, and the queries where the new one is better, as good, not worse."""
+    both = new.join(old.select("query_id", F.col("precision").alias("_o")), "query_id")
+    p, o = F.col("precision"), F.col("_o")
+    return both.agg(
+        F.count("*").alias("queries"), F.avg(p).alias("mean_new"), F.avg(o).alias("mean_old"),
+        F.count_if(p > o).alias("better"), F.count_if(p == o).alias("equal"), F.count_if(p >= o).alias("not_worse"),
+    )
+
+
+def chunk_statistics(counted: DataFrame, most: int = 200) -> DataFrame:
+    """One row over documents (n: chunks): documents, chunks, mean, median, largest, and how many reach `most`."""
+    return counted.agg(
+        F.count("*").alias("documents"), F.sum("n").alias("chunks"), F.avg("n").alias("mean"), F.median("n").alias("median"),
+        F.max("n").alias("largest"), F.count_if(F.col("n") >= most).alias("capped"),
+    )
+
+
 def chunk_count(length: Column, step: int = 680, most: int = 200) -> Column:
     return F.least(F.ceil(length / float(step)), F.lit(most)).cast("long")
 
