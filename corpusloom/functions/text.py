@@ -18,6 +18,26 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+#: White space of all scripts and the separators U+001C to U+001F, in a pattern that begins with (?U).
+BLANK = r"[\s\x1c-\x1f]"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space (Unicode) at both ends; null is empty."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), f"(?U)^{BLANK}+|{BLANK}+$", "")
+
+
+def fit_title(c: Column) -> Column:
+    """Whether a title may be stored: not empty, no control characters; null is none."""
+    return F.coalesce((c != "") & ~c.rlike(r"[\x00-\x1f\x7f]"), F.lit(False))
+
+
+def title_rank(c: Column) -> Column:
+    """0 for titles that say something, 1 for bare time stamps (ten digits or more), 2 for none: the smallest is kept."""
+    t = stripped(c)
+    return F.when(t == "", 2).when(t.rlike(r"^[0-9]{10,}$"), 1).otherwise(0)
+
+
 def preview(content: Column, width: int = 200) -> Column:
     """The first `width` characters of the flattened start of a text, with an ellipsis if cut."""
     flat = collapsed(F.substring(content, 1, 4 * width))

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space of all scripts and the separators U+001C to U+001F; ends of lines.
-BLANK, LINE_END = r"[\s\x1c-\x1f]", r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
+from ..functions.text import BLANK, stripped
+
+#: Ends of lines.
+LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 #: Kinds of notes, a book without a title, words before and after places.
 EXCERPT, REMARK, BOOKMARK, NO_BOOK, SOURCE, CHAPTER, PAGE = "摘录：", "批注：", "书签", "未知书籍", "来源：", "章节 ", ("第 ", " 页")
 
 
-def stripped(c: Column) -> Column:
-    """Without white space (Unicode) at both ends; null is empty."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), f"(?U)^{BLANK}+|{BLANK}+$", "")
-
-
 def quoted(c: Column) -> Column:
     """Every line behind `> `."""
     return F.array_join(F.transform(F.split(c, LINE_END), lambda x: F.concat(F.lit("> "), x)), "\n")

@@ -118,6 +118,19 @@ def found(index: Index, df: DataFrame, terms: Sequence[str], weights: Sequence[f
     return fill if rows is None else rows.select(fill.columns).unionByName(fill)
 
 
+def refined(index: Index, df: DataFrame, long: Sequence[str], short: Sequence[str]) -> DataFrame:
+    """Rows of df that hold all the long terms, by the index, and any of the short ones: only rows found are looked at."""
+    every = [F.exists(F.col("tf")[i], lambda x: x > 0) for i in range(len(long))]
+    ids = index.matches(list(long)).where(reduce(Column.__and__, every)).select(index.key)
+    holds = reduce(Column.__or__, [T.contains(F.col(c), t) for t in short for c in index.columns])
+    return df.join(ids, index.key, "left_semi").where(holds)
+
+
+def every_match(index: Index, df: DataFrame, term: str, columns: Sequence[str]) -> DataFrame:
+    """key and columns of all rows of df that hold a term, without a limit: ids from the lists, columns by a semi join."""
+    return df.select(index.key, *columns).join(index.matches([term]).select(index.key), index.key, "left_semi")
+
+
 def answer(index: Index, df: DataFrame, question: str, weights: Sequence[float], limit: int = 20, text: str = "content", other: str = "title", newest: str = "updated_minute") -> DataFrame:
     """key, nth, title, snippet: the page that answers a question; windows of its terms where they find nothing.
 

@@ -427,4 +427,4 @@ def z_session_minutes(spark: SparkSession, sf: str) -> DataFrame:
     return state.sessions(table(spark, sf, "events"), "user_id", "ts")
 
 
-from . import history, intake, measures, notes, reports, retrieval, shelf  # noqa: E402, F401
+from . import history, intake, measures, notes, reports, retrieval, shelf, upkeep  # noqa: E402, F401
