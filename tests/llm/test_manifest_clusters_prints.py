@@ -157,16 +157,18 @@ def test_screening_is_exact_and_prunes():
 
 def plain_print(text, k=3, take=2):
     words = re.findall(r"[぀-ヿ㐀-鿿]|[^\x20\x09-\x0D぀-ヿ㐀-鿿]+", text or "")
-    grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [" ".join(words)] if words else []
+    codes = [zlib.crc32(w.encode()) for w in words]
+    rows = [codes[i : i + k] for i in range(len(codes) - k + 1)] if len(codes) >= k else [codes] if codes else []
     seen, bins = Counter(), defaultdict(list)
-    for i, g in enumerate(grams):
-        h = hashlib.md5(f"{g}:{seen[g]}".encode()).hexdigest()
+    for i, row in enumerate(rows):
+        g = sum(c * f for c, f in zip(row, order_minhash.FACTORS, strict=False)) % (2**31 - 1)
+        h = (g + seen[g] * 1_500_450_271) % (2**31 - 1)
         seen[g] += 1
-        bins[h[0] + str(int(h[1], 16) // 4)].append((h, i))
+        bins[h >> 25].append((h, i))
     out = []
     for b in sorted(bins):
         chosen = sorted(sorted(bins[b])[:take], key=lambda x: x[1])
-        out.append(b + hashlib.md5("".join(h for h, _ in chosen).encode()).hexdigest()[:8])
+        out.append(f"{b:02}" + hashlib.md5(",".join(str(h % 2**25) for h, _ in chosen).encode()).hexdigest()[:8])
     return out
 
 
