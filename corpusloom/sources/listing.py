@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType
 
 #: Sizes of files that are empty or an error page, and formats that can be imported.
 BAD_SIZES = (0, 143)
@@ -90,7 +91,7 @@ def scan(spark: SparkSession, path: str, most: int = 5000, bad_sizes: tuple[int,
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def laddered(content: pd.Series) -> pd.Series:
     """The text of bytes in the first of UTF-8, GB18030 and Latin-1 that takes them all; null stays null."""
 
