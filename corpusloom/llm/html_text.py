@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import islice
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,8 +47,11 @@ ARTICLE_NAMES = set("article content post entry story".split())
 #: In a class name of several words the last one names the element, and some of the others when they come first.
 FIRST_NAMES = set("ad ads advert advertisement sponsored promo cookie cookies newsletter related share sharing comment comments nav footer sidebar breadcrumb menu".split())
 #: Class names with one of the former words, or that end in one of the latter, tell what a page has or how it is laid out.
-STATE = set("has no not without with is hide show".split())
-STATE_LAST = set("page layout template enabled disabled open closed on off".split())
+STATE = set("has no not without with is in hide show".split())
+STATE_LAST = set("page layout template enabled disabled open closed on off free".split())
+#: A class name that begins so says what an article is about; page builders put every paragraph into a "...-widget".
+TOPIC_FIRST = set("category cat tag topic term taxonomy section keyword".split())
+LAYOUT_LAST = {"widget"}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -59,15 +63,19 @@ TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
     re.S | re.I,
 )
-NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b\s*=?\s*("[^"]*"|'[^']*'|[^\s>"']*)""", re.I)
+#: An attribute and its value: values are taken whole, so that no word inside one is read as a name.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 WORD = re.compile(r"\S+")
+FORM_END, WHOLE, PARAGRAPH = re.compile(r"</form\b", re.I), re.compile(r"<(?:article|main)\b", re.I), re.compile(r"<(?:p|h[1-3])\b", re.I)
 
 
 def place_of(tag: str, rest: str) -> int:
     """1 article, 0 neither, -1 another part by name, -2 another part by element, or readers' remarks."""
     names: set[str] = set()
-    for kind, value in NAMES.findall(rest) if rest else ():
+    for kind, value in ATTRIBUTE.findall(rest) if rest else ():
         kind, value = kind.lower(), value.strip("\"'").lower()
+        if kind not in ("class", "id", "role", "hidden", "aria-hidden"):
+            continue
         if kind == "role":
             names |= {"@" + x for x in value.split()}
         elif kind == "hidden" or kind == "aria-hidden" and value == "true":
@@ -77,15 +85,24 @@ def place_of(tag: str, rest: str) -> int:
                 parts = [x for x in re.split(r"[^a-z]+", name) if x]
                 if len(parts) < 2:
                     names.update(parts)
-                elif not STATE & set(parts) and parts[-1] not in STATE_LAST:
-                    names.update(parts[-1:] + [x for x in parts[:1] if x in FIRST_NAMES])
+                elif not STATE & set(parts) and parts[-1] not in STATE_LAST and parts[0] not in TOPIC_FIRST:
+                    names.update([x for x in parts[-1:] if x not in LAYOUT_LAST] + [x for x in parts[:1] if x in FIRST_NAMES])
     if tag in NOT_ARTICLE or names & REMARK_NAMES:
         return -2
+    if tag in ARTICLE:
+        names -= {"widget", "search"}  # of a page's own article these tell where it stands
     if names & OTHER_NAMES or any(x[1:] in OTHER_ROLES for x in names if x[0] == "@"):
         return -1
     return 1 if tag in ARTICLE or "@main" in names or names & ARTICLE_NAMES else 0
 
 
+def holds_page(page: str, at: int) -> bool:
+    """Whether a form that begins here is a wrapper of the page: it holds an article, or paragraphs and headings."""
+    found = FORM_END.search(page, at)
+    end = found.start() if found else len(page)
+    return bool(WHOLE.search(page, at, end)) or sum(1 for _ in islice(PARAGRAPH.finditer(page, at, end), 3)) == 3
+
+
 def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
     """(text, words, words in links, place) of a page's flat text blocks, in page order. Null gives none."""
     out: list[tuple[str, int, int, int]] = []
@@ -121,7 +138,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
             if tag == "a":
                 link = not m["end"]
             continue
-        place = 0 if m["end"] or tag in ("html", "body") else place_of(tag, m["rest"])
+        place = 0 if m["end"] or tag in ("html", "body") or tag == "form" and holds_page(page, at) else place_of(tag, m["rest"])
         if tag != "span" or place:
             close()
             link = link and tag == "span"
