@@ -168,6 +168,9 @@ class Index:
 
     def write(self, df: DataFrame, folder: str) -> None:
         """The postings of df in `folder`, whatever was there before."""
+        tasks = self.spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < tasks:  # a small table in one file: one task would read it all
+            df = df.select(self.key, *self.columns).repartition(tasks)
         rows = posting_rows(df, self.columns, self.key, self.analyzer)
         spread = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)  # so that no shard waits for one task
         dealt = rows.repartition("shard", F.pmod(F.hash("part"), F.lit(spread))).sortWithinPartitions("shard", "term", "part")
@@ -314,6 +317,34 @@ class Index:
         return self.scored(phrases, weights).select(self.key, "score", "hit_terms").orderBy(F.desc("score"), self.key).limit(k)
 
 
+def rarest(index: Index, titles: DataFrame, field_: int, n: int) -> DataFrame:
+    """title_id, title, term, f: of every title of n characters or more, the gram that fewest documents hold in a field
+    (ties: the first in order), with that number. A title with a gram that no document holds gives no row."""
+    low = F.lower("title")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n))))
+    each = titles.where(F.length("title") >= n).select("title_id", "title", F.explode(grams).alias("term"))
+    lists = index.spark.read.parquet(f"{index.path}/postings").where((F.col("field") == field_) & (F.col("shard") != DOCS))
+    freq = lists.groupBy("term").agg(F.sum(F.size("docs")).alias("f"))
+    held = each.join(freq, "term", "left").groupBy("title_id", "title").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "term")).alias("x"))
+    return held.where("x.f > 0").select("title_id", "title", "x.term", "x.f")
+
+
+def containing(index: Index, df: DataFrame, titles: DataFrame, column: str = "content") -> DataFrame:
+    """source (key of a document), target (title_id): documents whose text holds a title (title_id, title) as it is
+    written, of as many characters as the index's grams or more.
+
+    A title's rarest gram gives its candidates from one list; the texts of candidates alone are looked at, each once for
+    all its titles. The index is one of Grams that holds `column`.
+    """
+    at, n = index.columns.index(column), index.analyzer.n
+    anchors = rarest(index, titles, at, n).select("term", F.struct("title_id", "title").alias("t"))
+    lists = index.spark.read.parquet(f"{index.path}/postings").where((F.col("field") == at) & (F.col("shard") != DOCS))
+    near = index.current(lists.join(anchors, "term").select("generation", "t", F.explode("keys").alias(index.key)))
+    asked = near.groupBy(index.key).agg(F.collect_set("t").alias("ts"))
+    hits = df.select(index.key, column).join(asked, index.key).select(F.col(index.key).alias("source"), F.explode(F.filter("ts", lambda t: F.col(column).contains(t["title"]))).alias("t"))
+    return hits.select("source", F.col("t.title_id").alias("target"))
+
+
 def _at(i: int):
     return lambda x: x[i]
 

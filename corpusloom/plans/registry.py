@@ -151,12 +151,6 @@ def j_anti_orphans(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey").join(ends, "c_custkey", "left_anti")
 
 
-@query("j_containment", SQL + " SELECT id AS source, item_id AS target FROM d JOIN benchmark ON contains(content, benchmark.text)")
-def j_containment(spark: SparkSession, sf: str) -> DataFrame:
-    titles = table(spark, sf, "benchmark").select(F.col("item_id").alias("title_id"), F.col("text").alias("title"))
-    return graph.contained(documents(spark, sf), titles, gram=24)
-
-
 @query("j_recon_two_sided", "SELECT l_partkey AS path, 'orphan' AS state FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity >= 45) WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25) UNION ALL SELECT p_partkey, 'missing' FROM part WHERE p_size > 25 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)")
 def j_recon_two_sided(spark: SparkSession, sf: str) -> DataFrame:
     disk = table(spark, sf, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("path"))

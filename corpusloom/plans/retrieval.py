@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import postings, retrieval
-from ..sources.tables import SHELF_SQL, SQL, documents, shelf
+from ..operators import graph, postings, retrieval
+from ..sources.tables import SHELF_SQL, SQL, documents, shelf, table
 from ..sources.workspace import exists, shared_dir, version
 from .base import query
 
@@ -134,3 +134,10 @@ def l_snippet_terms(spark: SparkSession, sf: str) -> DataFrame:
     df = documents(spark, sf).select("id", T.collapsed("content").alias("t"))
     holds = F.lower("t").rlike("worthless|idiot|buy")
     return df.where(holds).select("id", retrieval.snippet(F.col("t"), terms).alias("snippet"))
+
+
+@query("j_containment", SQL + " SELECT id AS source, item_id AS target FROM d JOIN benchmark ON contains(content, benchmark.text)")
+def j_containment(spark: SparkSession, sf: str) -> DataFrame:
+    titles = table(spark, sf, "benchmark").select(F.col("item_id").alias("title_id"), F.col("text").alias("title"))
+    df = documents(spark, sf)
+    return postings.containing(document_index(spark, sf), df, titles).unionByName(graph.contained(df, titles.where("length(title) = 2")))
