@@ -64,6 +64,12 @@ def language(c: Column) -> Column:
     return out.otherwise(base)
 
 
+def language_of(code: str) -> str:
+    """language() of a code that the driver holds."""
+    base = code.strip().lower()
+    return LANGUAGE_ALIASES.get(base, base or "und")
+
+
 def window(content: Column, term: str, width: int = 480, before: int = 60) -> Column:
     """`width` characters of a text from `before` ahead of the first match; null without a match."""
     at = F.instr(F.lower(content), term.lower())

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, notes, queue, review, vectors
-from ..sources.tables import SHELF_SQL, shelf, table
+from ..operators.shelf_filter import ShelfFilter
+from ..sources.tables import SHELF_SQL, TAGS_SQL, shelf, table, tags
 from .base import query
 from .shelf import ISSUES, N, scoped, snapshot
 
@@ -99,3 +100,14 @@ def v_retrieval_compared(spark: SparkSession, sf: str) -> DataFrame:
 @query("v_chunk_statistics", "WITH c AS (SELECT least(CAST(ceil(n_chars / 680.0) AS BIGINT), 200) AS n FROM documents) SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS chunks, avg(n) AS mean, median(n) AS median, max(n) AS largest, count(*) FILTER (n >= 200) AS capped FROM c")
 def v_chunk_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.chunk_statistics(table(spark, sf, "documents").select(vectors.chunk_count(F.col("n_chars")).alias("n")))
+
+
+@query("f_shelf_filter", _ALIVE + ISSUES + TAGS_SQL + f""", h AS (SELECT a.* FROM a JOIN i USING (id) WHERE progress > 0 AND progress < 1 AND format IN ('pdf', 'epub', 'txt') AND (contains(lower(a.title), 'title') OR contains(lower(content), 'title'))
+ AND id IN (SELECT id FROM b WHERE tag = 't2') AND (length(trim(coalesce(content, ''))) < 500 OR cover_path IS NULL OR collection IS NULL OR (coalesce(language, '') <> '' AND language NOT IN ('zh', 'en', 'ja', 'und'))
+ OR (i.checked_minute IS NOT NULL AND (list_contains(issues, 'needs_ocr') OR list_contains(issues, 'missing_file') OR list_contains(issues, 'duplicate_sha')))))
+SELECT id, title FROM h ORDER BY title, id LIMIT 15 OFFSET 1""")
+def f_shelf_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """What a user typed, as one filter over rows, tags and the last audit."""
+    df = shelf(spark, sf)
+    spec = ShelfFilter.parse({"q": " Title ", "shelf": "reading", "quality": "issues", "tag": "t2", "sort": "title_asc", "view": "odd", "format": ""})
+    return spec.page(df, tags(df), snapshot(scoped(spark, sf)), 15, 1).select("id", "title")

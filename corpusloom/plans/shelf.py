@@ -116,11 +116,9 @@ def a_quality_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f_snapshot_arms", ALIVE + ISSUES + " SELECT 'not_audited' AS arm, id FROM i WHERE checked_minute IS NULL" + "".join(f" UNION ALL SELECT '{a}', id FROM i WHERE checked_minute IS NOT NULL AND list_contains(issues, '{c}')" for a, c in (("needs_ocr", "needs_ocr"), ("missing_file", "missing_file"), ("duplicate", "duplicate_sha"))))
 def f_snapshot_arms(spark: SparkSession, sf: str) -> DataFrame:
-    df, out = scoped(spark, sf), None
-    for arm in ("not_audited", "needs_ocr", "missing_file", "duplicate"):
-        rows = catalog.snapshot_arm(df, snapshot(df), arm).select(F.lit(arm).alias("arm"), "id")
-        out = rows if out is None else out.union(rows)
-    return out
+    df = scoped(spark, sf)
+    arms = [F.lit(x) for x in ("not_audited", "needs_ocr", "missing_file", "duplicate")]
+    return catalog.quality_kinds(df, snapshot(df)).select(F.explode(F.array_intersect("quality", F.array(*arms))).alias("arm"), "id")
 
 
 CATEGORY = "CASE WHEN contains(lower({c}), 'worthless') OR contains(lower({c}), 'title 1') THEN 'src1' WHEN contains(lower({c}), 'buy') OR contains(lower({c}), '!!') THEN 'src2' WHEN contains(lower({c}), ' | ') OR contains(lower({c}), '###') THEN 'forms' WHEN contains(lower({c}), 'idiot') OR contains(lower({c}), 'title 3') THEN 'src3' END"

@@ -22,7 +22,7 @@ def occurrences(text, phrase):
 
 
 @pytest.fixture(scope="module")
-def library(spark, tmp_path_factory):
+def indexed(spark, tmp_path_factory):
     rows = texts(300, 1) + [(900, "long", "alpha " * 3000 + "机器" * 2000), (901, "", ""), (902, None, None)]
     df = spark.createDataFrame(rows, "id long, title string, content string").repartition(3)
     at = str(tmp_path_factory.mktemp("index"))
@@ -37,15 +37,15 @@ def library(spark, tmp_path_factory):
     ("grams", ["机器学习", "学习模", "alpha", "aaa", "aaaa", "lphabe", "a b", "c++", "zzz", "ALPHA\nbeta"]),
     ("runs", ["机器", "器学", "机器学习", "学", "人工智能", "智能模型", "学习学", "习机器学"]),
 ])
-def test_counts_equal_substrings(library, kind, phrases):
-    rows, _, index = library
+def test_counts_equal_substrings(indexed, kind, phrases):
+    rows, _, index = indexed
     got = {r["id"]: [list(t) for t in r["tf"]] for r in index[kind].matches(phrases).collect()}
     want = {i: [[occurrences(t, p), occurrences(c, p)] for p in phrases] for i, t, c in rows}
     assert got == {i: tf for i, tf in want.items() if any(map(any, tf))}
 
 
-def test_runs_find_whole_words(library):
-    rows, _, index = library
+def test_runs_find_whole_words(indexed):
+    rows, _, index = indexed
     whole = lambda t: sum(m.group() == "alpha" for m in re.finditer(rf"[{postings.CJK}]+|[^\s{postings.CJK}]+", (t or "").lower()))
     got = {r["id"]: sum(map(sum, r["tf"])) for r in index["runs"].matches(["Alpha"]).collect()}
     assert got == {i: n for i, t, c in rows if (n := whole(t) + whole(c))}
@@ -53,8 +53,8 @@ def test_runs_find_whole_words(library):
     assert index["runs"].matches(["机 alpha"]).count() == sum(any(found.search((x or "").lower()) for x in tc) for _, *tc in rows)
 
 
-def test_scores_equal_scan_and_sizes(library):
-    rows, df, index = library
+def test_scores_equal_scan_and_sizes(indexed):
+    rows, df, index = indexed
     assert index["grams"].size()[0] == len(rows)
     terms, weights = ["alpha", "学习模", "aaa"], [5.0, 1.0]
     scan = search.bm25(df, terms, {"title": 5.0, "content": 1.0})
@@ -67,8 +67,8 @@ def test_scores_equal_scan_and_sizes(library):
     assert top == [i for i, _ in sorted(want.items(), key=lambda x: (-x[1][0], x[0]))][:7]
 
 
-def test_short_phrases_are_refused_and_lists_pruned(library):
-    _, _, index = library
+def test_short_phrases_are_refused_and_lists_pruned(indexed):
+    _, _, index = indexed
     with pytest.raises(ValueError):
         index["grams"].matches(["ab"])
     plan = index["grams"].rows(["alp"])._jdf.queryExecution().executedPlan().toString()
@@ -76,9 +76,9 @@ def test_short_phrases_are_refused_and_lists_pruned(library):
     assert "In(term" in plan or "EqualTo(term" in plan
 
 
-def test_changes_and_a_replayed_stream(spark, tmp_path, library):
+def test_changes_and_a_replayed_stream(spark, tmp_path, indexed):
     """New, replaced and deleted documents; the stream's last batch runs twice, as after a lost driver."""
-    rows, df, _ = library
+    rows, df, _ = indexed
     rng = random.Random(4)
     index = postings.Index(spark, f"{tmp_path}/ix", ("title", "content")).build(df)
     state = {i: (t, c) for i, t, c in rows}
@@ -108,8 +108,8 @@ def test_changes_and_a_replayed_stream(spark, tmp_path, library):
     assert held() == first and index.size()[0] == len(state)
 
 
-def test_recall_names_both_sides(spark, library):
-    rows, df, index = library
+def test_recall_names_both_sides(spark, indexed):
+    rows, df, index = indexed
     changed = df.where("id <> 900").union(spark.createDataFrame([(7777, "alpha", "")], df.schema))
     got = {r["phrase"]: r for r in postings.recall(index["grams"], changed, ["alpha", "学习模", "nowhere"]).collect()}
     truth = sum(bool(occurrences(t, "alpha") or occurrences(c, "alpha")) for i, t, c in rows if i != 900) + 1
@@ -190,8 +190,8 @@ def test_snippets_equal_loop(spark):
     assert len(long) == 220 and long.endswith("</mark>…")
 
 
-def test_answers_fill_and_fall_back(spark, library):
-    rows, df, index = library
+def test_answers_fill_and_fall_back(spark, indexed):
+    rows, df, index = indexed
     df = df.withColumn("updated_minute", F.col("id") % 5).withColumn("type", F.when(F.col("id") % 2 == 0, "note").otherwise("book"))
     page = retrieval.answer(index["grams"], df, "alpha 学习", [5.0, 1.0], 400).orderBy("nth").collect()
     hit = lambda r, t: any(t in (x or "").lower() for x in r[1:])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import catalog, notes, queue, review, upkeep, vectors
+from corpusloom.operators.shelf_filter import ShelfFilter, status_predicate
 from corpusloom.sources import listing
 
 
@@ -131,3 +132,26 @@ def test_measures_of_queries_without_results(spark):
     judged = spark.createDataFrame([(1, "a"), (1, "c"), (2, "a")], "query_id long, item string")
     got = {r["query_id"]: (r["hits"], r["precision"]) for r in vectors.retrieval_quality(ranked, judged, 2).collect()}
     assert got == {1: (1, 0.5), 2: (0, 0.0)}
+
+
+def test_filters_read_and_written():
+    spec = ShelfFilter.parse({"q": "  two words ", "shelf": "odd", "sort": "nothing", "quality": "bad", "view": "list", "language": " EN-us ", "format": " PDF ", "author": "  ", "tag": None})
+    assert spec == ShelfFilter(q="two words", view="list", language="en", format="pdf") and spec.written() == {"q": "two words", "format": "pdf", "language": "en", "view": "list"}
+    recent = ShelfFilter.parse({"shelf": "recent", "sort": "title_asc"})
+    assert recent.sort == "created_desc" and recent.written() == {"shelf": "recent"}
+    for given in ({}, {"shelf": "done", "sort": "title_asc", "category": "c", "tag": "t", "quality": "issues"}):
+        assert ShelfFilter.parse(given).written() == given and ShelfFilter.parse(ShelfFilter.parse(given).written()) == ShelfFilter.parse(given)
+
+
+def test_filters_applied_and_left_out(spark):
+    cols = "id long, title string, author string, content string, type string, format string, collection string, language string, progress double, deleted boolean, cover_path string"
+    rows = [(1, "One", "A", "x" * 600, "book", "PDF", "c", "en", 0.5, False, "p"), (2, "Two", "B", "y", "book", "txt", "c", "zh-TW", None, False, None), (3, "One", "A", "", "pdf", "pdf", "d", "en", 1.0, False, "p"), (4, "One", "A", "z", "note", "pdf", "c", "en", 0.5, False, "p"), (5, "One", "A", "z", "book", "pdf", "c", "en", 0.5, True, "p")]
+    df = spark.createDataFrame(rows, cols)
+    bridge, snapshot = spark.createDataFrame([(1, "t"), (2, "t"), (1, "t")], "id long, tag string"), spark.createDataFrame([(1, [])], "id long, issues array<string>")
+    ids = lambda given, **k: sorted(r["id"] for r in ShelfFilter.parse(given).rows(df, bridge, snapshot, **k).collect())
+    assert ids({}) == [1, 2, 3] and ids({"q": "one"}) == [1, 3] and ids({"format": "pdf"}) == [1, 3] and ids({"language": "zh"}) == [2]
+    assert ids({"shelf": "reading"}) == [1] and ids({"shelf": "unread"}) == [2] and ids({"shelf": "done"}) == [3] and ids({"shelf": "recent"}) == [1, 2, 3]
+    assert ids({"tag": "t"}) == [1, 2] and ids({"tag": "t"}, without="tag") == [1, 2, 3]
+    assert ids({"quality": "issues"}) == [2, 3] and ids({"quality": "not_audited", "author": "B"}) == [2] and ids({"quality": "issues", "category": "d"}, without="category") == [2, 3]
+    with pytest.raises(ValueError):
+        status_predicate("odd")
