@@ -1,4 +1,4 @@
-"""The library of a client without a server: filter, sorts and statistics over books and reading records."""
+"""The books of a client without a server: filter, sorts and statistics over books and reading records."""
 
 from __future__ import annotations
 

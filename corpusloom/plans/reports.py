@@ -1,4 +1,4 @@
-"""Queries over the client's library, reports and exports."""
+"""Queries over the client's own books, reports and exports."""
 
 from __future__ import annotations
 

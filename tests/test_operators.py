@@ -273,7 +273,7 @@ def test_backup_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back["one"].collect())) == [(1, "ü\n\"", None), (2, None, 0.5)]
 
 
-def test_local_library(spark):
+def test_local_shelf(spark):
     rows = [(1, "B", None, None, "zh_CN", 100.0, None, ["x"]), (2, "a", "Ann", "pdf", "zh", 3.0, 9, None), (3, None, "ann", "PDF", None, None, 5, [])]
     df = spark.createDataFrame(rows, "id long, title string, author string, format string, language string, progress double, last_read_at long, tags array<string>")
     df = df.selectExpr("*", "'' AS publisher", "cast(NULL AS string) AS description", "'c' AS category", "id AS added_at")

@@ -209,3 +209,15 @@ def test_answers_fill_and_fall_back(spark, indexed):
     assert one["total"] == len(both) and one["by_group"] == {"note": sum(i % 2 == 0 for i in both), "book": sum(i % 2 for i in both)}
     titles = " ".join(t for i, t, _ in sorted(r for r in rows if r[0] in both)[:30] if t)
     assert list(one["related"]) == [w for w in plain_keywords(titles, 20) if not any(w in t or t in w for t in ("alpha", "学习"))][:5]
+
+
+def test_titles_inside_texts(spark, indexed):
+    rows, df, index = indexed
+    names = ["alpha", "Alphabet", "学习模型", "aaaa", "nowhere at all", "机器学习机器学习", "ab"]
+    titles = spark.createDataFrame(list(enumerate(names)), "title_id long, title string")
+    got = {tuple(r) for r in postings.containing(index["grams"], df, titles).collect()}
+    assert got == {(i, k) for i, _, c in rows for k, t in enumerate(names) if len(t) > 2 and t in (c or "")}
+    assert retrieval.every_match(index["grams"], df, "alphabet", ["title"]).count() == sum("alphabet" in ((t or "") + "\n" + (c or "")).lower() for _, t, c in rows)
+    both = retrieval.refined(index["grams"], df, ["alpha", "模型，"], ["学习", "x"]).collect()
+    has = lambda r, t: any(t in (x or "").lower() for x in r[1:])
+    assert {r["id"] for r in both} == {r[0] for r in rows if has(r, "alpha") and has(r, "模型，") and (has(r, "学习") or has(r, "x"))}
