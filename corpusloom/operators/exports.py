@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.workspace import once
+
 #: Rows that one task numbers, about.
 BUCKET_ROWS = 1_000_000
 
@@ -15,20 +17,19 @@ BUCKET_ROWS = 1_000_000
 def numbered(df: DataFrame, at: str, key: str = "id", rows_each: int = BUCKET_ROWS) -> DataFrame:
     """df and nth (long, from 1) by falling numeric `at`, ties by key, nulls last; no task holds all rows.
 
-    Rows fall into ranges of `at` of about rows_each rows, are numbered there, and the sizes of the ranges before, a
-    small table, are added. Rows of one value of `at` share a range.
+    Only (key, at) is sorted: dealt by ranges of both, so that a value of `at` with any share of the rows spreads over
+    tasks, numbered inside a task, kept, and moved on by the sizes of the tasks before, one row a task. The numbers are
+    joined by key, which must be unique.
     """
-    n = df.count()
-    cuts = max(0, -(-n // rows_each) - 1)
-    bounds = []
-    if cuts:
-        bounds = df.agg(F.percentile_approx(at, [(i + 1) / (cuts + 1) for i in range(cuts)], max(10_000, 100 * cuts)).alias("b")).first()["b"] or []
-    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(at))) if bounds else F.lit(0)
-    marked = df.withColumn("_range", F.when(F.col(at).isNull(), -1).otherwise(below))
-    sizes = marked.groupBy("_range").agg(F.count("*").alias("_n"))  # one row a range
-    ahead = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc_nulls_last(at), key))
-    return marked.join(F.broadcast(sizes.select("_range", ahead.alias("_ahead"))), "_range").withColumn("nth", F.col("_ahead") + within).drop("_range", "_ahead")
+    order = [F.desc_nulls_last(at), F.asc(key)]
+    tasks = max(1, -(-df.count() // rows_each))
+    sorted_ = once(df.select(key, at).repartitionByRange(tasks, *order).sortWithinPartitions(*order).select(key, F.monotonically_increasing_id().alias("_m")))
+    task = F.shiftright("_m", 33)
+    sizes = sorted_.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over one row a task
+    numbers = sorted_.withColumn("_task", task).join(F.broadcast(sizes.select("_task", ahead.alias("_ahead"))), "_task")
+    nth = F.col("_ahead") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1
+    return df.join(numbers.select(key, nth.alias("nth")), key)
 
 
 def file_name(nth: Column, title: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.listing import decoded
+
 #: First bytes of image files, in hex.
 IMAGES = {"jpg": "FFD8FF", "png": "89504E470D0A1A0A", "gif": "47494638"}
 PAYLOAD = "struct<books:array<struct<id:string,title:string,progress:double,addedAt:bigint>>,notes:array<struct<id:string,bookId:string,text:string,createdAt:bigint>>,bookmarks:array<struct<id:string,bookId:string,page:int>>,records:array<struct<bookId:string,start:bigint,end:bigint>>>"
@@ -96,6 +100,26 @@ def page_text(html: Column, most: int = 200_000) -> Column:
     return F.substring(F.trim(F.regexp_replace(t, "[ \\t\\r\\n\\f\\v]+", " ")), 1, most)
 
 
+#: Formats of books, and what a page's first bytes hold.
+BOOKS, PAGE_SIGNS = ("epub", "mobi", "azw", "azw3"), ("<html", "<!doctype", "<body", "<head")
+
+
+def reader_of(content: Column, kind: Column) -> Column:
+    """Which reader a file (bytes, format) goes to: pdf, book, html or text. A pdf without its mark is a page or a text."""
+    head = F.decode(F.substring(content, 1, 2048), "ISO-8859-1")
+    page = reduce(Column.__or__, [F.lower(head).contains(x) for x in PAGE_SIGNS])
+    fake = F.when(page, "html").otherwise("text")
+    return F.when(kind == "pdf", F.when(head.startswith("%PDF"), "pdf").otherwise(fake)).when(kind.isin(*BOOKS), "book").otherwise("text")
+
+
+def extracted(df: DataFrame, content: str = "content", kind: str = "format", most: int = 200_000) -> DataFrame:
+    """df plus reader and text: pages and texts are read here (null: no bytes), pdf and book files need a reader of their
+    own and have a null text. Bytes are decoded by the ladder once a row."""
+    rows = df.withColumn("reader", reader_of(F.col(content), F.lower(F.coalesce(kind, F.lit(""))))).withColumn("_d", decoded(F.col(content), 10 * most))
+    text = F.when(F.col("reader") == "html", page_text(F.col("_d"), most)).when(F.col("reader") == "text", F.substring("_d", 1, most))
+    return rows.withColumn("text", text).drop("_d")
+
+
 def clip(pages: DataFrame, width: int = 200) -> DataFrame:
     """url, title, excerpt: the title element, else the first heading, else the url; the start of the text."""
     part = lambda tag: page_text(F.regexp_extract("html", f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1))

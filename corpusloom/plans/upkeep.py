@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import changes, retrieval, upkeep
+from ..operators import changes, intake, retrieval, review, upkeep
 from ..sources.tables import SHELF_SQL, SQL, documents, shelf, table
 from .base import query
+from .intake import TEXT
 from .notes import MARKS_SQL, STRIP, marks
 from .retrieval import _APART, _ranked_words, document_index
 
@@ -97,3 +98,35 @@ def l_refined_short(spark: SparkSession, sf: str) -> DataFrame:
 @query("f_plain_titles", SQL + r" SELECT id, NOT regexp_matches(title, '[\x00-\x1f\x7f]') AND length(title) > 0 AS fit FROM d")
 def f_plain_titles(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("id", T.fit_title(F.col("title")).alias("fit"))
+
+
+_BYTES = "CASE page_id % 5 WHEN 1 THEN concat('%PDF-1.4 ', html) WHEN 2 THEN 'plain words' ELSE html END"
+_FORMAT = "CASE page_id % 5 WHEN 3 THEN 'epub' WHEN 4 THEN 'txt' ELSE 'PDF' END"
+
+
+@query("s_extracted", f"WITH p AS (SELECT page_id, html, {_BYTES} AS c FROM pages) SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' WHEN 3 THEN 'book' ELSE 'text' END AS reader, CASE WHEN page_id % 5 = 0 THEN substr({TEXT}, 1, 200000) WHEN page_id % 5 IN (2, 4) THEN substr(c, 1, 200000) END AS text FROM p")
+def s_extracted(spark: SparkSession, sf: str) -> DataFrame:
+    """Readers by first bytes, whatever a name says, and what they read."""
+    rows = table(spark, sf, "pages").selectExpr("page_id", f"CAST({_BYTES} AS BINARY) AS content", f"{_FORMAT} AS format")
+    return intake.extracted(rows).select("page_id", "reader", "text")
+
+
+@query("a_last_active_days", "WITH d AS (SELECT CAST(ts AS DATE) AS day, sum(greatest(0, value)) AS s FROM events GROUP BY 1) SELECT day FROM d WHERE s > 0 ORDER BY day DESC LIMIT 7")
+def a_last_active_days(spark: SparkSession, sf: str) -> DataFrame:
+    sessions = table(spark, sf, "events").select(F.col("ts").alias("start"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("value") * 60e6).cast("long")).alias("end"))
+    return review.last_active_days(review.minutes_by_day(sessions, "start", "end")).select("day")
+
+
+@query("s_verify_files", SHELF_SQL + " SELECT CASE WHEN id % 5 = 0 THEN 'missing' WHEN id % 5 = 1 THEN 'size' WHEN id % 5 = 2 THEN 'hash' ELSE 'ok' END AS state, count(*) AS n FROM s GROUP BY 1")
+def s_verify_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of a manifest, digests of real texts, against a listing with some gone, longer or other."""
+    files = shelf(spark, sf).select("id", F.concat(F.lit("p"), "id").alias("path"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+    other = F.when(F.col("id") % 5 == 2, F.sha2(F.concat("sha256", F.lit("x")), 256)).otherwise(F.col("sha256"))
+    now = files.where("id % 5 <> 0").select("path", F.when(F.col("id") % 5 == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size"), other.alias("sha256"))
+    return changes.verify(files.drop("id"), now).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("s_notes_by_title", SHELF_SQL + " SELECT title, concat('## ', title, chr(10), chr(10), string_agg(concat('- ', substr(content, 1, 20)), chr(10) ORDER BY id)) AS markdown FROM s GROUP BY title")
+def s_notes_by_title(spark: SparkSession, sf: str) -> DataFrame:
+    rows = shelf(spark, sf).select("title", "id", F.substring("content", 1, 20).alias("note"))
+    return changes.markdown_by_document(rows, "title", "id", "note")

@@ -138,3 +138,12 @@ def test_streams_equal_finished_logs_and_forget(spark, tmp_path, kind):
     assert got == sorted(map(tuple, want.collect()))
     kept = spark.read.format("statestore").option("stateVarName", "times").load(f"{tmp_path}/cp").select(F.col("key.client").alias("k"))
     assert {r["k"] for r in kept.collect()} <= {"later"}
+
+
+def test_arrivals_as_a_stream(spark, tmp_path):
+    for i, rows in enumerate([[("a", 0), ("b", 1), ("a", 2)], [("b", 3), ("c", 4)], [("a", 5)]]):
+        spark.createDataFrame([(d, T0 + dt.timedelta(seconds=s)) for d, s in rows], "digest string, at timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
+    stream = spark.readStream.schema("digest string, at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = state.arrivals(stream, "digest", "at").writeStream.format("memory").queryName("arrived").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None and sorted(r["digest"] for r in spark.table("arrived").collect()) == ["a", "b", "c"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import catalog, notes, queue, review, upkeep, vectors
+from corpusloom.operators import catalog, intake, notes, queue, review, upkeep, vectors
 from corpusloom.operators.shelf_filter import ShelfFilter, status_predicate
 from corpusloom.sources import listing
 
@@ -155,3 +155,11 @@ def test_filters_applied_and_left_out(spark):
     assert ids({"quality": "issues"}) == [2, 3] and ids({"quality": "not_audited", "author": "B"}) == [2] and ids({"quality": "issues", "category": "d"}, without="category") == [2, 3]
     with pytest.raises(ValueError):
         status_predicate("odd")
+
+
+def test_readers_by_first_bytes(spark):
+    rows = [("pdf", b"%PDF-1.7 x"), ("PDF", b"\n<!DOCTYPE html><p>a &amp; b</p>"), ("pdf", "数据".encode("gb18030")), ("epub", b"PK"), ("html", b"<html>raw</html>"), (None, b"caf\xe9 \xff"), ("txt", None), ("pdf", b"x" * 3000 + b"<html>")]
+    got = intake.extracted(spark.createDataFrame(list((i, *r) for i, r in enumerate(rows)), "i int, format string, content binary")).orderBy("i").collect()
+    assert [(r["reader"], r["text"]) for r in got] == [
+        ("pdf", None), ("html", "a & b"), ("text", "数据"), ("book", None), ("text", "<html>raw</html>"), ("text", "café ÿ"), ("text", None), ("text", "x" * 3000 + "<html>"),
+    ]
