@@ -177,8 +177,11 @@ class Index:
         dealt.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(folder)
 
     def build(self, df: DataFrame) -> Index:
-        """All of df as the first generation; a rebuild replaces it. Null texts are empty, null keys are kept."""
+        """All of df as the first generation, with its size; a rebuild replaces it. Null texts are empty, null keys are kept."""
         self.write(df, f"{self.path}/postings/generation=0")
+        total = F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total")
+        docs = self.rows().where("generation = 0").agg(F.coalesce(F.sum(F.size("docs")), F.lit(0)).alias("n"), total)
+        docs.write.mode("overwrite").parquet(f"{self.path}/size")
         return self
 
     @property
@@ -204,12 +207,9 @@ class Index:
         return self.current(self.rows().select("generation", F.explode(F.arrays_zip("keys", "sizes")).alias("x")).select("generation", F.col("x.keys").alias(self.key), F.col("x.sizes").alias("size")))
 
     def size(self) -> tuple[int, float]:
-        """(documents, mean size): one small aggregate; without changes sums of a part's row."""
-        if self.changed:
-            n, total = self.documents().agg(F.count("*"), F.sum("size")).first()
-        else:
-            total = F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x))
-            n, total = self.rows().agg(F.sum(F.size("docs")), total).first()
+        """(documents, mean size): as written by build(); after changes from the rows that list documents."""
+        rows = self.documents().agg(F.count("*"), F.sum("size")) if self.changed else self.spark.read.parquet(f"{self.path}/size")
+        n, total = rows.first()
         return n or 0, (total or 0) / (n or 1)
 
     def apply_changes(self, changed: DataFrame, generation: int) -> None:

@@ -21,7 +21,7 @@ def index_of(spark: SparkSession, sf: str, name: str, df: DataFrame, analyzer: p
     """The index of this name over the table's present files: built when there is none in the shared folder, then reused."""
     path = f"{shared_dir(spark)}/index-{name}-{hashlib.md5(sf.encode()).hexdigest()[:8]}-{version(spark, f'{sf}/documents.parquet')[:16]}"
     index = postings.Index(spark, path, FIELDS, analyzer=analyzer or postings.Grams())
-    return index if exists(spark, f"{path}/postings/generation=0/_SUCCESS") else index.build(df)
+    return index if exists(spark, f"{path}/size/_SUCCESS") else index.build(df)
 
 
 def shelf_index(spark: SparkSession, sf: str) -> postings.Index:
