@@ -41,7 +41,7 @@ w AS (SELECT *, 5.0 * nt + 1.0 * nc AS w FROM tf WHERE nt + nc > 0), z AS (SELEC
 sc AS (SELECT id, q, nt, nc, ln(1 + (n - df + 0.5) / (df + 0.5)) * w * 2.2 / (w + 1.2 * (0.25 + 0.75 * size / a)) AS score FROM w JOIN df USING (q), z)"""
 
 
-@query("l_index_build", SQL + ", g AS (SELECT id, unnest(list_transform(range(1, greatest(length(content) - 1, 1)), lambda i: substr(lower(content), i, 3))) AS term FROM d WHERE length(content) >= 3) SELECT count(DISTINCT term) AS terms, count(*) AS places, count(DISTINCT (id, term)) AS entries, (SELECT count(*) FROM d) AS documents FROM g")
+@query("l_index_build", SQL + ", x AS (SELECT id, regexp_extract_all(lower(content), '(?s).') AS c FROM d), g AS (SELECT id, unnest(list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2])) AS term FROM x WHERE len(c) >= 3), p AS (SELECT id, term, count(*) AS n FROM g GROUP BY id, term) SELECT count(DISTINCT term) AS terms, CAST(sum(n) AS BIGINT) AS places, count(*) AS entries, (SELECT count(*) FROM d) AS documents FROM p")
 def l_index_build(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of the content's index, read back from its lists."""
     index = document_index(spark, sf)
