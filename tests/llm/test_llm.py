@@ -42,6 +42,21 @@ def test_piece_table_equals_tokenizer(kind, name):
         assert ids[ends[i] : ends[i + 1]].tolist() == w.ids, texts[i]
 
 
+@pytest.mark.parametrize("kind,name", [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])
+def test_piece_table_equals_library_defaults(kind, name):
+    """Control characters beside signs, letters that the normal form takes apart, and added tokens written in a text."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    signs = ["\x00", "\x1c", "\x7f", "\ufb1d", "\u0958", "&", "!", "%", " ", "a", "'s", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["\x00&", "\ufb1d%", "a<|endoftext|>b", *("".join(rng.choices(signs, k=rng.randint(1, 8))) for _ in range(1500))]
+    ids, ends = tokens.PieceTable(P.path(name), kind).encode(pa.array(texts))
+    want = Tokenizer.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)
+    for i, w in enumerate(want):
+        assert ids[ends[i] : ends[i + 1]].tolist() == w.ids, ascii(texts[i])
+
+
 @pytest.mark.parametrize("leaf", [3, 17, 4096])
 def test_byte_bpe_tree(leaf):
     codec = byte_bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), leaf)
