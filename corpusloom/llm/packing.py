@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import lean, materialise, small_batches, table
 from .tokens import batches, piece_table
 
-CAPACITY, GROUP, STEPS, LOOKS, FILLINGS, DEPTH = 2048, 20_000, 200_000, 1_000, 8, 12
+CAPACITY, GROUP, STEPS, LOOKS, FILLINGS, DEPTH, DEALS = 2048, 20_000, 200_000, 1_000, 8, 12, 500
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -50,12 +50,17 @@ def dominates(a: list[int], b: list[int]) -> bool:
     """Whether the pieces of b can be dealt to pieces of a so that no piece of a gets more than its own length.
 
     Then a packing with b in this bin can be changed into one with a, and b need not be tried (Martello and Toth).
+    The test may take exponential time: after DEALS tries it says no, and b is tried as well.
     """
     if sum(b) > sum(a) or b and max(b) > max(a, default=0):
         return False
 
+    left = DEALS
+
     def deal(i: int, room: tuple[int, ...]) -> bool:
-        return i == len(b) or any(deal(i + 1, (*room[:j], x - b[i], *room[j + 1 :])) for j, x in enumerate(room) if x >= b[i] and x not in room[:j])
+        nonlocal left
+        left -= 1
+        return i == len(b) or left > 0 and any(deal(i + 1, (*room[:j], x - b[i], *room[j + 1 :])) for j, x in enumerate(room) if x >= b[i] and x not in room[:j])
 
     b = sorted(b, reverse=True)
     return deal(0, tuple(sorted(a, reverse=True)))
@@ -246,7 +251,8 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, gr
                 at += x
         return rows.drop_columns(["_g"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
-    return dealt.groupBy("_g").applyInArrow(place, schema)
+    # a group is little data and much work: small partitions must not be put together
+    return dealt.repartition(groups, "_g").groupBy("_g").applyInArrow(place, schema)
 
 
 def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, kind: str = "byte", key: str = "doc_id", text: str = "text") -> DataFrame:
