@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +27,93 @@ def normalised(a: Column) -> Column:
 
 
 def exact_top(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
-    """query_id, vec_id, score, rank: exact scan for all queries, in blocks of at most about `most_queries`, each broadcast."""
+    """query_id, vec_id, score, rank: exact scan for all queries.
+
+    Vectors are packed into chunks of CHUNK, queries into blocks of about `most_queries`; a chunk and a block meet as two
+    rows, a matrix product leaves those that may be among a query's k best of the chunk, and only their scores, summed in
+    the order of `dot`, are shuffled. So shuffled rows are k for each query and chunk, not one for each pair; the products
+    are all pairs, spread over the chunks. Vectors without finite components of the usual number go pair by pair.
+    """
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
+    n, width = asked.agg(F.count("*"), F.mode(F.size("_q"))).first()
+    usual = lambda c: (F.size(c) == (width or 0)) & F.coalesce(F.forall(c, lambda x: F.coalesce(F.abs(x) < 1e150, F.lit(False))), F.lit(False))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-
-    def top(q: DataFrame) -> DataFrame:
-        scored = vectors.crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", dot(F.col("embedding"), F.col("_q")).alias("score"))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-    blocks = max(1, -(-asked.count() // most_queries))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.union, [top(asked.where(block == i) if blocks > 1 else asked) for i in range(blocks)])
+    rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull())
+    plain, odd = rows.where(usual("embedding")), rows.where(~F.coalesce(usual("embedding"), F.lit(False)))
+    blocks = max(1, -(-n // most_queries))
+    whole = asked.where(usual("_q")).repartition(blocks)
+    packed, sides = _packed(whole, "query_id", "_q", width or 0, most_queries), max(1, (n * (width or 0) * 8) >> 26)
+    pairs = _packed(plain, "vec_id", "embedding", width or 0, CHUNK).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    pairs = pairs.crossJoin(F.broadcast(packed) if sides == 1 else packed)
+    kind, of = asked.schema["query_id"].dataType.simpleString(), rows.schema["vec_id"].dataType.simpleString()
+    near = pairs.select("query_id_s", "_q_s", "vec_id_s", "embedding_s").mapInArrow(_nearest(width or 0, k), f"query_id {kind}, vec_id {of}, score double")
+
+    def each(v: DataFrame, q: DataFrame) -> DataFrame:
+        return v.crossJoin(q).where("vec_id <> query_id").select("query_id", "vec_id", dot(F.col("embedding"), F.col("_q")).alias("score"))
+
+    scored = near.unionByName(each(odd, asked)).unionByName(each(plain, asked.where(~F.coalesce(usual("_q"), F.lit(False)))))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+#: Vectors that meet a block of queries at once, and the entries of a matrix of scores.
+CHUNK, ENTRIES = 8_192, 1 << 20
+
+
+def _packed(df: DataFrame, key: str, vector: str, width: int, most: int) -> DataFrame:
+    """key_s (array), vector_s (binary, little-endian doubles): up to `most` rows of a partition in one. No vector is null."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in source:
+            while b.num_rows:
+                part, b = b.slice(0, most - n), b.slice(most - n)
+                held.append(part)
+                n += part.num_rows
+                if n == most:
+                    yield one(held)
+                    held, n = [], 0
+        if n:
+            yield one(held)
+
+    def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        keys = pa.concat_arrays([b.column(0) for b in held])
+        data = b"".join(b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes() for b in held)
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([data], pa.binary())], names=[f"{key}_s", f"{vector}_s"])
+
+    return df.select(key, vector).mapInArrow(run, f"{key}_s array<{df.schema[key].dataType.simpleString()}>, {vector}_s binary")
+
+
+def _nearest(width: int, k: int):
+    """For mapInArrow over pairs of a block and a chunk: query_id, vec_id, score of each query's k best in the chunk."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            for i in range(b.num_rows):
+                yield from pair(b.column(0)[i].values, b.column(1)[i].as_py(), b.column(2)[i].values, b.column(3)[i].as_py())
+
+    def pair(asked: pa.Array, q: bytes, ids: pa.Array, v: bytes) -> Iterator[pa.RecordBatch]:
+        q, v = np.frombuffer(q, "<f8").reshape(-1, width), np.frombuffer(v, "<f8").reshape(-1, width)
+        place = np.empty(len(ids), np.int64)
+        place[np.asarray(pc.sort_indices(ids))] = np.arange(len(ids))
+        codes = np.asarray(pa.concat_arrays([asked, ids.cast(asked.type)]).dictionary_encode().indices.fill_null(-1))
+        own, other = codes[: len(asked)], codes[len(asked) :]
+        # a product in another order of summation differs from the sum in order by less than this
+        slack = 4 * (width + 2) * 2.0**-52 * np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max(initial=0))
+        for lo in range(0, len(q), step := max(1, ENTRIES // len(v))):
+            about = q[lo : lo + step] @ v.T
+            about[own[lo : lo + step, None] == other] = -np.inf
+            best = np.partition(about, -k, axis=1)[:, -k] if len(v) > k else np.full(len(about), -np.inf)
+            row, col = np.nonzero((about >= (best - slack[lo : lo + step])[:, None]) & (about > -np.inf))
+            score = np.zeros(len(row))
+            for d in range(width):
+                score += v[col, d] * q[lo + row, d]
+            by = np.lexsort((place[col], -score, row))
+            row, col, score = row[by], col[by], score[by]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = pa.array(lo + row[first]), pa.array(col[first])
+            yield pa.RecordBatch.from_arrays([asked.take(row), ids.take(col), pa.array(score[first])], names=["query_id", "vec_id", "score"])
+
+    return run
 
 
 def fuse(ranked: DataFrame, query: str = "query_id", item: str = "item", rank: str = "rank", constant: int = 60) -> DataFrame:

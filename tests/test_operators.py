@@ -56,6 +56,21 @@ def test_exact_top_in_blocks(spark):
     assert len(got) == 180
 
 
+def test_exact_top_by_chunks(spark, monkeypatch):
+    """Chunks and blocks against the plain order of all pairs, with copies, ties and vectors that have no usual score."""
+    monkeypatch.setattr(vectors, "CHUNK", 16)
+    odd = [None, [1.0], [float("nan"), 0.0, 1.0], [None, 1.0, 1.0], [1e200, 1.0, 0.0]]
+    rows = [(i, [((i * 7) % 5) / 3, ((i * 3) % 11) / 7, 1.0]) for i in range(90)] + [(90 + i, v) for i, v in enumerate(odd)] + [(None, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = vectors.exact_top(df, df.where("vec_id % 10 = 0 OR vec_id > 90"), 4, most_queries=5)
+    got = [(r.query_id, r.vec_id, r["rank"]) for r in out.collect()]
+    q = df.where("vec_id % 10 = 0 OR vec_id > 90").selectExpr("vec_id AS query_id", "embedding AS q")
+    pairs = df.crossJoin(q).where("vec_id <> query_id").withColumn("score", vectors.dot(F.col("embedding"), F.col("q")))
+    want = pairs.selectExpr("query_id", "vec_id", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank").where("rank <= 4")
+    assert sorted(got) == sorted(map(tuple, want.collect()))
+    assert vectors.exact_top(df, df.limit(0), 4).count() == 0
+
+
 def test_fuzzy(spark):
     # abc at the start: 2 + 4 + 4; with gaps: 2 + 1 + 1; later start: 1 + 2 + 4; each less a hundredth of the length
     want = {"abc": 9.97, "axbxc": 3.95, "xabc": 6.96, "cab": None, "": None}
