@@ -221,3 +221,36 @@ def test_titles_inside_texts(spark, indexed):
     both = retrieval.refined(index["grams"], df, ["alpha", "模型，"], ["学习", "x"]).collect()
     has = lambda r, t: any(t in (x or "").lower() for x in r[1:])
     assert {r["id"] for r in both} == {r[0] for r in rows if has(r, "alpha") and has(r, "模型，") and (has(r, "学习") or has(r, "x"))}
+
+
+def test_runs_at_once_equal_tokens():
+    import random
+
+    rng, runs = random.Random(1), postings.Runs()
+    letters = [*"ab1.,\x00é \n\t\x1c\u3000\xa0", "中", "文", "豈", "䶿", "\U00020000", "页", "abcd"]
+    for _ in range(200):
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 25))) for _ in range(rng.randint(0, 6))]
+        number, doc, place, terms = runs.places(texts)
+        got = [(terms[n], d, p) for n, d, p in zip(number.tolist(), doc.tolist(), place.tolist(), strict=True)]
+        assert sorted(got) == sorted((s, i, at) for i, t in enumerate(texts) for s, at in runs.tokens(t)) and terms == sorted(terms)
+
+
+def test_index_is_written_without_shuffle(spark, tmp_path):
+    """Rows go to their folders where they are made: one file a task and folder, each in its part's order of terms."""
+    df = spark.range(400).selectExpr("id", "concat('alpha beta ', id) AS title", "repeat(concat('gamma ', id, ' '), 20) AS content")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("index write", "")
+    postings.Index(spark, str(tmp_path / "ix"), ("title", "content")).write(df, str(tmp_path / "ix/postings/generation=0"))
+    stages = {s for j in tracker.getJobIdsForGroup("index write") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(stages) == 1  # rows are made and written in one
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_containment_either_way(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(postings, "BROADCAST_BYTES", most)
+    df = spark.createDataFrame([(i, f"doc {i}", f"some text {i % 7} of red, {'blue sky' if i % 3 else 'green sea'}") for i in range(40)], "id long, title string, content string")
+    titles = spark.createDataFrame([(1, "blue sky"), (2, "text 3 of"), (3, "nowhere"), (4, "green sea"), (4, "green sea"), (4, "red, green")], "title_id long, title string")
+    index = postings.Index(spark, str(tmp_path / "ix"), ("title", "content")).build(df)
+    got = sorted(map(tuple, postings.containing(index, df, titles).collect()))
+    assert got == sorted((r.id, t) for r in df.collect() for t, x in {(1, "blue sky"), (2, "text 3 of"), (4, "green sea"), (4, "red, green")} if x in r.content)
